@@ -1,0 +1,85 @@
+"""Secret detection and redaction over whole texts, as built-in expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from spoor import fixed_values as V
+from spoor.functions import text as X
+
+
+def _js(pattern: str) -> str:
+    return pattern.replace(r"\s", X.SPACE) if "[" in pattern and r"\s+" not in pattern else pattern.replace(r"\s+", X.WS + "+")
+
+
+PATTERNS = [(name, _js(rx)) for name, rx in V.SECRET_PATTERNS]
+
+# One alternation in precedence order: the engine takes the leftmost start, then
+# the first alternative, so spans never overlap.
+ANY_SECRET = "|".join(f"(?:{rx})" for _, rx in PATTERNS)
+
+
+def has_secret(c: Column) -> Column:
+    return c.rlike(ANY_SECRET)
+
+
+def label(match: Column) -> Column:
+    """Type of a matched span: the first pattern that starts it."""
+    out = None
+    for name, rx in PATTERNS:
+        cond = match.rlike(f"^(?:{rx})")
+        out = F.when(cond, name) if out is None else out.when(cond, name)
+    return out
+
+
+def redact(c: Column) -> Column:
+    """Replace every secret with ``[REDACTED:<type>]``. Clean text, the common
+    case, costs one scan."""
+    pieces = F.split(c, ANY_SECRET, -1)
+    marks = F.transform(
+        F.regexp_extract_all(c, F.lit(ANY_SECRET), F.lit(0)),
+        lambda m: F.concat(F.lit("[REDACTED:"), label(m), F.lit("]")),
+    )
+    joined = F.array_join(
+        F.zip_with(pieces, marks, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""
+    )
+    return F.when(has_secret(c), joined).otherwise(c)
+
+
+def spans(c: Column, rx: str) -> Column:
+    """array<struct(start, end)> of the matches of one pattern (0-based, end
+    exclusive), from the lengths of the pieces around them."""
+    before = F.transform(F.split(c, rx, -1), F.length)
+    inside = F.transform(F.regexp_extract_all(c, F.lit(rx), F.lit(0)), F.length)
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    steps = F.slice(F.arrays_zip(before.alias("b"), inside.alias("m")), 1, F.size(inside))
+    walked = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("at"), empty.alias("out")),
+        lambda acc, s: F.struct(
+            (acc["at"] + s["b"] + s["m"]).alias("at"),
+            F.array_append(
+                acc["out"],
+                F.struct((acc["at"] + s["b"]).alias("start"), (acc["at"] + s["b"] + s["m"]).alias("end")),
+            ).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    return F.when(c.rlike(rx), walked).otherwise(empty)
+
+
+def find(c: Column) -> Column:
+    """array<struct(type, start, end)> over all patterns."""
+    return F.flatten(F.array(*[
+        F.transform(
+            spans(c, rx),
+            lambda s, name=name: F.struct(F.lit(name).alias("type"), s["start"].alias("start"), s["end"].alias("end")),
+        )
+        for name, rx in PATTERNS
+    ]))
+
+
+def markers(c: Column) -> Column:
+    """Types named by the redaction markers in a text, one per occurrence."""
+    return F.regexp_extract_all(c, F.lit(V.REDACTION_MARKER), F.lit(1))
