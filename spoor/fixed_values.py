@@ -99,7 +99,7 @@ SECRET_PATTERNS = [
     ("private_key", r"-----BEGIN (?:RSA |EC |DSA )?PRIVATE KEY-----"),
     ("jwt_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_\-.]+"),
     ("generic_api_key", r"(?i:(?:x-api-key|api[_-]?key)[\"'\s:=]+[A-Za-z0-9_\-]{20,})"),
-    ("bearer_token", r"Bearer\s+[A-Za-z0-9_\-.]{20,}"),
+    ("bearer_token", r"Bearer[\s]+[A-Za-z0-9_\-.]{20,}"),
 ]
 
 REDACTION_MARKER = r"\[REDACTED:([a-z_]+)\]"

@@ -61,13 +61,9 @@ def motif_shape(tool: Column, command: Column, file_path: Column) -> Column:
 
 def pascal_tool(tool: Column) -> Column:
     """Tool name with an upper-case initial; MCP names stay as they are."""
-    return F.when(is_mcp(tool), tool).otherwise(
-        F.concat(F.upper(F.substring(tool, 1, 1)), F.expr("substring({}, 2)".format(_sql_name(tool))))
-    )
-
-
-def _sql_name(c: Column) -> str:
-    return c._jc.toString() if hasattr(c, "_jc") else str(c)
+    initial = F.upper(F.substring(tool, 1, 1))
+    rest = F.substring(tool, F.lit(2), F.length(tool))
+    return F.when(is_mcp(tool), tool).otherwise(F.concat(initial, rest))
 
 
 _ENV = rf"^(?:[A-Za-z_][A-Za-z0-9_]*={X.NOT_WS}*(?:{X.WS}+|\z))+"

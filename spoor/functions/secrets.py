@@ -9,11 +9,8 @@ from spoor import fixed_values as V
 from spoor.functions import text as X
 
 
-def _js(pattern: str) -> str:
-    return pattern.replace(r"\s", X.SPACE) if "[" in pattern and r"\s+" not in pattern else pattern.replace(r"\s+", X.WS + "+")
-
-
-PATTERNS = [(name, _js(rx)) for name, rx in V.SECRET_PATTERNS]
+# Inside every pattern \s stands in a character class.
+PATTERNS = [(name, rx.replace(r"\s", X.SPACE)) for name, rx in V.SECRET_PATTERNS]
 
 # One alternation in precedence order: the engine takes the leftmost start, then
 # the first alternative, so spans never overlap.

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Whitespace as ECMAScript sees it; Java's \s is ASCII only.
-SPACE = r"\s   -     　﻿"
+SPACE = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = f"[{SPACE}]"
 NOT_WS = f"[^{SPACE}]"
 

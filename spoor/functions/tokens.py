@@ -4,6 +4,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def n_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def part(name: str) -> Column:
     return F.coalesce(F.col(f"usage.{name}"), F.lit(0))
 
