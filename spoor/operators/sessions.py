@@ -139,6 +139,32 @@ def session_activity(ws: Workspace, f: Filters = NO_FILTER) -> DataFrame:
     )
 
 
+def idle_segments(ws: Workspace, f: Filters = NO_FILTER) -> DataFrame:
+    """Stretches of activity: a gap of more than five minutes starts a new one.
+
+    Segment ends are found on slot pieces: a row starts a segment when the entry
+    before it, inside its slot or at the end of the slot before, is too far.
+    """
+    instants = _instants(ws.trace_rows(f, F.col("session_id").isNotNull()))
+    per_slot = _slots(instants).select("session_id", "slot", "before")
+    inside = F.col("at") - F.lag("at").over(Window.partitionBy("session_id", "slot").orderBy("at"))
+    far = F.coalesce("gap", "before") > V.IDLE_GAP_MS
+    local = (
+        instants.withColumn("gap", inside).join(per_slot, ["session_id", "slot"])
+        .withColumn("starts", F.coalesce(far, F.lit(True)).cast("int"))
+        .withColumn("part", F.sum("starts").over(
+            Window.partitionBy("session_id", "slot").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("session_id", "slot", "part")
+        .agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.sum("n").alias("n"), F.max("starts").alias("opens"))
+    )
+    # Pieces of one session: at most thirteen per hour slot.
+    number = F.sum("opens").over(Window.partitionBy("session_id").orderBy("lo").rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        local.withColumn("segment", number).groupBy("session_id", "segment")
+        .agg(F.min("lo").alias("started_ms"), F.max("hi").alias("ended_ms"), F.sum("n").alias("entries"))
+    )
+
+
 def rollups(ws: Workspace, f: Filters = NO_FILTER) -> DataFrame:
     """Per session: tokens, active time, commits, changed lines, tokens per line."""
     return (
