@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoor import fixed_values as V
@@ -72,18 +72,27 @@ _WORD = rf"^({X.NOT_WS}+)"
 CLEAN_WORD = r"^[A-Za-z0-9_./+-]+\z"
 
 
-def verb_and_sub(command: Column) -> Column:
-    """struct(verb, sub) of a shell command: leading assignments and flags are
-    skipped; NULL verb when the word cannot stand in an allow entry."""
-    rest = F.regexp_replace(X.trim_all(command), _ENV, "")
-    rest = F.regexp_replace(rest, _FLAGS, "")
-    verb = F.regexp_extract(rest, _WORD, 1)
-    tail = F.regexp_replace(rest, rf"^{X.NOT_WS}+{X.WS}*", "")
-    sub = F.regexp_extract(F.regexp_replace(tail, _FLAGS, ""), _WORD, 1)
-    ok = verb.rlike(CLEAN_WORD)
-    return F.struct(
-        F.when(ok, verb).alias("verb"),
-        F.when(ok & sub.rlike(CLEAN_WORD), sub).alias("sub"),
+def with_verb(df: DataFrame, command: str = "command") -> DataFrame:
+    """Adds ``verb`` and ``sub`` of a shell command: leading assignments and flags
+    are skipped; NULL when the word cannot stand in an allow entry.
+
+    Built in steps, each a column, so that no expression is evaluated twice.
+    """
+    def word(c: str) -> Column:
+        return F.regexp_extract(c, _WORD, 1)
+
+    def clean(c: str) -> Column:
+        return F.when(F.col(c).rlike(CLEAN_WORD), F.col(c))
+
+    return (
+        df.withColumn("_rest", F.regexp_replace(F.regexp_replace(X.trim_all(F.col(command)), _ENV, ""), _FLAGS, ""))
+        .withColumns({
+            "_verb": word("_rest"),
+            "_tail": F.regexp_replace(F.regexp_replace("_rest", rf"^{X.NOT_WS}+{X.WS}*", ""), _FLAGS, "")})
+        .withColumn("_sub", word("_tail"))
+        .withColumn("verb", clean("_verb"))
+        .withColumn("sub", F.when(F.col("verb").isNotNull(), clean("_sub")))
+        .drop("_rest", "_verb", "_tail", "_sub")
     )
 
 

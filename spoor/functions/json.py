@@ -44,11 +44,8 @@ def loose_text(v: Column, path: str) -> Column:
 
 def integer(v: Column, path: str) -> Column:
     """A number, truncated towards zero."""
-    k = kind(get(v, path))
-    whole = F.try_variant_get(v, path, "bigint")
-    part = F.try_variant_get(v, path, "double")
-    cut = F.when(part >= 0, F.floor(part)).otherwise(F.ceil(part)).cast("bigint")
-    return F.when(k == "BIGINT", whole).when(k.isin("DOUBLE", "FLOAT") | k.startswith("DECIMAL"), cut)
+    number = F.try_variant_get(v, path, "decimal(38,9)").try_cast("bigint")
+    return F.when(kind(get(v, path)).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), number)
 
 
 def boolean(v: Column, path: str) -> Column:

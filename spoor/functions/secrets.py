@@ -68,13 +68,12 @@ def spans(c: Column, rx: str) -> Column:
 
 def find(c: Column) -> Column:
     """array<struct(type, start, end)> over all patterns."""
-    return F.flatten(F.array(*[
-        F.transform(
-            spans(c, rx),
-            lambda s, name=name: F.struct(F.lit(name).alias("type"), s["start"].alias("start"), s["end"].alias("end")),
-        )
-        for name, rx in PATTERNS
-    ]))
+
+    def typed(name: str, rx: str) -> Column:
+        return F.transform(spans(c, rx), lambda s: F.struct(
+            F.lit(name).alias("type"), s["start"].alias("start"), s["end"].alias("end")))
+
+    return F.flatten(F.array(*[typed(name, rx) for name, rx in PATTERNS]))
 
 
 def markers(c: Column) -> Column:

@@ -22,17 +22,16 @@ def permissions(ws: Workspace, f: Filters = NO_FILTER) -> DataFrame:
     Shell calls count at verb depth and, where there is one, at verb + sub depth;
     other tools count as themselves.
     """
-    tool = calls.pascal_tool(F.col("tool_name"))
-    word = F.when(F.col("tool").isin(SHELLS), calls.verb_and_sub(F.col("command")))
+    shell = F.col("tool").isin(SHELLS)
+    verb, sub = F.col("verb"), F.col("sub")
     null = F.lit(None).cast("string")
     paths = F.when(
-        F.col("tool").isin(SHELLS),
+        shell,
         F.array_compact(F.array(
-            F.when(F.col("word.verb").isNotNull(), F.struct(F.col("word.verb").alias("verb"), null.alias("sub"))),
-            F.when(F.col("word.sub").isNotNull(), F.struct(F.col("word.verb").alias("verb"), F.col("word.sub").alias("sub"))),
+            F.when(verb.isNotNull(), F.struct(verb.alias("verb"), null.alias("sub"))),
+            F.when(sub.isNotNull(), F.struct(verb.alias("verb"), sub.alias("sub"))),
         )),
     ).otherwise(F.array(F.struct(null.alias("verb"), null.alias("sub"))))
-    shell = F.col("tool").isin(SHELLS)
     category = (
         F.when(shell & F.col("verb").isin(V.CORE_VERBS), "core")
         .when(shell & F.col("verb").isin(V.BUILD_VERBS), "build")
@@ -44,11 +43,11 @@ def permissions(ws: Workspace, f: Filters = NO_FILTER) -> DataFrame:
     prefix = F.concat_ws(" ", "verb", "sub")
     entry = F.when(shell, F.concat("tool", F.lit("("), prefix, F.lit(":*)"))).otherwise(F.col("tool"))
     depth = F.lit(1) + F.col("verb").isNotNull().cast("int") + F.col("sub").isNotNull().cast("int")
+    observed = ws.trace_rows(f, calls.is_tool_call(), F.col("tool_name").isNotNull()).select(
+        calls.pascal_tool(F.col("tool_name")).alias("tool"), X.nonempty(F.col("session_id")).alias("session_id"), "command")
+    observed = observed.withColumn("command", F.when(shell, F.col("command")))
     return (
-        ws.trace_rows(f, calls.is_tool_call(), F.col("tool_name").isNotNull())
-        .select(tool.alias("tool"), "command", X.nonempty(F.col("session_id")).alias("session_id"))
-        .withColumn("word", word)
-        .select("tool", "session_id", F.inline(paths))
+        calls.with_verb(observed).select("tool", "session_id", F.inline(paths))
         .groupBy("tool", "verb", "sub")
         .agg(F.count(F.lit(1)).alias("count"), F.countDistinct("session_id").alias("sessions"))
         .select(category.alias("category"), "tool", "verb", "sub", depth.alias("depth"), "count", "sessions",
@@ -57,34 +56,26 @@ def permissions(ws: Workspace, f: Filters = NO_FILTER) -> DataFrame:
     )
 
 
-def parse_entry(raw: Column) -> Column:
-    """struct(raw, tool, tokens, wildcard, reasonable); NULL when unparsable.
+def parse_entries(entries: DataFrame, *keep: str) -> DataFrame:
+    """Columns raw, tool, tokens, wildcard, reasonable of the entries that parse.
 
     Only shell entries have a wildcard (``:*`` or `` *``) and tokens to reason
     about; arguments of other tools are opaque.
     """
-    r = X.trim_all(raw)
-    at = F.instr(r, "(")
-    tool = F.when(at == 0, r).otherwise(F.substring(r, F.lit(1), at - 1))
-    inner = X.trim_all(F.when(at > 0, F.substring(r, at + 1, F.length(r) - at - 1)).otherwise(""))
-    wild = tool.isin(SHELLS) & (inner.endswith(":*") | inner.endswith(" *"))
-    body = F.when(wild, X.trim_all(F.substring(inner, F.lit(1), F.length(inner) - 2))).otherwise(inner)
-    none = F.array().cast("array<string>")
-    tokens = (
-        F.when(body == "", none)
-        .when(tool.isin(SHELLS), F.split(body, X.WS + "+"))
-        .otherwise(F.array(body))
-    )
-    parsed = F.struct(
-        r.alias("raw"), tool.alias("tool"), tokens.alias("tokens"), wild.alias("wildcard"),
-        (tool.isin(SHELLS) | (inner == "")).alias("reasonable"))
-    return F.when((r != "") & ((at == 0) | r.endswith(")")), parsed)
-
-
-def _parsed(entries: DataFrame, *keep: str) -> DataFrame:
+    shell, inner, body = F.col("tool").isin(SHELLS), F.col("_inner"), F.col("_body")
+    at, length = F.col("_at"), F.length("raw")
     return (
-        entries.select(*keep, parse_entry(F.col("entry")).alias("e")).where(F.col("e").isNotNull())
-        .select(*keep, "e.*")
+        entries.select(*keep, X.trim_all(F.col("entry")).alias("raw")).where(F.col("raw") != "")
+        .withColumn("_at", F.instr("raw", "("))
+        .where((at == 0) | F.col("raw").endswith(")"))
+        .withColumn("tool", F.when(at == 0, F.col("raw")).otherwise(F.substring("raw", F.lit(1), at - 1)))
+        .withColumn("_inner", X.trim_all(F.when(at > 0, F.substring("raw", at + 1, length - at - 1)).otherwise("")))
+        .withColumn("wildcard", shell & (inner.endswith(":*") | inner.endswith(" *")))
+        .withColumn("_body", X.trim_all(
+            F.when(F.col("wildcard"), F.substring("_inner", F.lit(1), F.length("_inner") - 2)).otherwise(inner)))
+        .withColumn("tokens", F.when(body == "", F.array().cast("array<string>"))
+                    .when(shell, F.split(body, X.WS + "+")).otherwise(F.array(body)))
+        .select(*keep, "raw", "tool", "tokens", "wildcard", (shell | (inner == "")).alias("reasonable"))
     )
 
 
@@ -104,8 +95,8 @@ def merge(existing: DataFrame, candidate: DataFrame) -> DataFrame:
     """
     order = F.struct("source", "pos")
     entries = (
-        _parsed(existing.withColumn("source", F.lit(0)), "source", "pos")
-        .unionByName(_parsed(candidate.withColumn("source", F.lit(1)), "source", "pos"))
+        parse_entries(existing.withColumn("source", F.lit(0)), "source", "pos")
+        .unionByName(parse_entries(candidate.withColumn("source", F.lit(1)), "source", "pos"))
         .groupBy("raw").agg(
             F.min(order).alias("at"), F.first("tool").alias("tool"), F.first("tokens").alias("tokens"),
             F.first("wildcard").alias("wildcard"), F.first("reasonable").alias("reasonable"))
@@ -188,7 +179,7 @@ def candidates(perms: DataFrame, depth: str = "verb", overrides: DataFrame | Non
 def broadening(existing: DataFrame) -> DataFrame:
     """Verbs with two or more narrow shell entries and no wildcard of their own."""
     rows = (
-        _parsed(existing).where(F.col("tool").isin(SHELLS + ["shell"]) & (F.size("tokens") > 0))
+        parse_entries(existing).where(F.col("tool").isin(SHELLS + ["shell"]) & (F.size("tokens") > 0))
         .withColumn("verb", F.get("tokens", F.lit(0)))
         .withColumn("whole", F.col("wildcard") & (F.size("tokens") == 1))
     )
@@ -204,9 +195,9 @@ def broadening(existing: DataFrame) -> DataFrame:
 def mark_existing(perms: DataFrame, existing: DataFrame) -> DataFrame:
     """``perms`` with ``existing``: the entry is in the list, or one covers the
     other in either direction."""
-    have = _parsed(existing).where("reasonable")
+    have = parse_entries(existing).where("reasonable")
     mine = perms.select(F.col("allow_entry").alias("entry")).distinct()
-    parsed = mine.select("entry", parse_entry(F.col("entry")).alias("e")).select("entry", "e.*").where("reasonable")
+    parsed = parse_entries(mine, "entry").where("reasonable")
     exact = mine.join(existing.select("entry").distinct(), "entry", "left_semi")
     trimmed = parsed.join(have.select("raw").distinct(), "raw", "left_semi").select("entry")
     above = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoor import fixed_values as V
@@ -15,12 +15,13 @@ NO_FILTER = Filters()
 def extract_findings(traces: DataFrame) -> DataFrame:
     """One row per marker occurrence in any text field of a trace row."""
     fields = [c for c in V.FINDING_FIELDS if c in traces.columns]
+
+    def hits_in(field: str) -> Column:
+        return F.transform(secrets.markers(F.coalesce(field, F.lit(""))),
+                           lambda m: F.struct(m.alias("pattern_type"), F.lit(field).alias("field")))
+
     # One array of hits per row: rows without a marker produce nothing.
-    hits = F.flatten(F.array(*[
-        F.transform(secrets.markers(F.coalesce(c, F.lit(""))),
-                    lambda m, c=c: F.struct(m.alias("pattern_type"), F.lit(c).alias("field")))
-        for c in fields
-    ]))
+    hits = F.flatten(F.array(*[hits_in(c) for c in fields]))
     return (
         traces.select("ts", "agent", "session_id", "project", F.col("id").alias("source_id"),
                       F.explode(hits).alias("hit"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +43,10 @@ def infer_projects(kv: DataFrame, home: str) -> DataFrame:
     Agreement is decided per path position with min = max, so a composer with any
     number of paths reduces to a handful of rows.
     """
-    literal = r'"((?:[^"\\]|\\.)*)"(?:\s*:)?'
-    strings = F.filter(F.regexp_extract_all("value", F.lit(literal), F.lit(0)), lambda s: ~s.endswith(":"))
-    plain = F.transform(strings, lambda s: F.replace(
-        F.substring(s, F.lit(2), F.length(s) - 2), F.lit("\\/"), F.lit("/")))
+    # String values that start like a path; names of fields are followed by a colon.
+    literal = rf'(?<!\\)"((?:{re.escape(home)}|file:)[^"]*)"(?!\s*:)'
+    plain = F.transform(F.regexp_extract_all("value", F.lit(literal), F.lit(1)),
+                        lambda s: F.replace(s, F.lit("\\/"), F.lit("/")))
 
     def as_path(s: Column) -> Column:
         local = F.try_url_decode(F.replace(F.substring(s, F.lit(8), F.length(s)), F.lit("+"), F.lit("%2B")))
