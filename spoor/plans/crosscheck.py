@@ -48,19 +48,19 @@ SINCE = "ts >= DATE '2024-01-31' - INTERVAL 7 DAY"
 
 # ---- commit linking -------------------------------------------------------------
 WIN = """
-win AS (SELECT session_id, project, MIN(agent) AS agent, MIN(epoch_ms(ts)) - 300000 AS lo, MAX(epoch_ms(ts)) + 300000 AS hi
+win AS (SELECT session_id, project, MIN(agent) AS agent, MIN((epoch_us(ts)//1000)) - 300000 AS lo, MAX((epoch_us(ts)//1000)) + 300000 AS hi
   FROM traces WHERE session_id IS NOT NULL AND project IS NOT NULL GROUP BY 1, 2)"""
 PASS1 = WIN + """,
 p1 AS (SELECT c.commit_sha, MIN(w.session_id) AS session_id, arg_min(w.agent, w.session_id) AS agent
-  FROM commits c JOIN win w ON w.project = c.project AND epoch_ms(c.ts) BETWEEN w.lo AND w.hi
+  FROM commits c JOIN win w ON w.project = c.project AND (epoch_us(c.ts)//1000) BETWEEN w.lo AND w.hi
   WHERE c.agent_authored GROUP BY 1)"""
 
 
 def _pass2(orphans: str) -> str:
     return f"""
-near AS (SELECT c.commit_sha, t.session_id, MIN(ABS(epoch_ms(t.ts) - epoch_ms(c.ts))) AS dt
+near AS (SELECT c.commit_sha, t.session_id, MIN(ABS((epoch_us(t.ts)//1000) - (epoch_us(c.ts)//1000))) AS dt
   FROM ({orphans}) c JOIN traces t ON t.agent = c.agent_name AND t.entry_type = 'tool_call' AND t.session_id IS NOT NULL
-    AND ABS(epoch_ms(t.ts) - epoch_ms(c.ts)) <= 3600000
+    AND ABS((epoch_us(t.ts)//1000) - (epoch_us(c.ts)//1000)) <= 3600000
   GROUP BY 1, 2),
 ranked AS (SELECT commit_sha, session_id, RANK() OVER (PARTITION BY commit_sha ORDER BY dt) AS rk FROM near),
 p2 AS (SELECT commit_sha, MIN(session_id) AS session_id FROM ranked WHERE rk = 1 GROUP BY 1 HAVING COUNT(*) = 1)"""
@@ -84,7 +84,7 @@ facts AS (SELECT session_id, MIN(agent) AS agent, MAX(project) AS project, MIN(t
 cm AS (SELECT session_id, COUNT(*) AS commits, {big('COALESCE(insertions,0)+COALESCE(deletions,0)')} AS loc_delta
   FROM git_events WHERE {HAS} AND agent_authored GROUP BY session_id)"""
 ACTIVE = f"""
-gaps AS (SELECT session_id, epoch_ms(ts) - LAG(epoch_ms(ts)) OVER (PARTITION BY session_id ORDER BY ts) AS gap
+gaps AS (SELECT session_id, (epoch_us(ts)//1000) - LAG((epoch_us(ts)//1000)) OVER (PARTITION BY session_id ORDER BY ts) AS gap
   FROM traces WHERE {HAS}),
 act AS (SELECT session_id, {big('CASE WHEN gap > 0 AND gap <= 300000 THEN gap END')} AS active_ms FROM gaps GROUP BY 1)"""
 ROLL = FACTS + "," + ACTIVE + """,
@@ -122,9 +122,9 @@ actions AS (SELECT session_id, MIN(ts) AS first_action_at FROM (
   UNION ALL SELECT session_id, ts FROM git_events WHERE {HAS} AND agent_authored) GROUP BY 1),
 um AS (SELECT m.session_id, MAX(m.ts) AS first_user_msg_at FROM traces m JOIN actions a USING (session_id)
   WHERE {USER} AND m.ts <= a.first_action_at GROUP BY 1),
-lat AS (SELECT f.*, first_user_msg_at, first_action_at, epoch_ms(first_action_at) - epoch_ms(first_user_msg_at) AS latency_ms
+lat AS (SELECT f.*, first_user_msg_at, first_action_at, (epoch_us(first_action_at)//1000) - (epoch_us(first_user_msg_at)//1000) AS latency_ms
   FROM um JOIN actions USING (session_id) JOIN facts f USING (session_id)
-  WHERE epoch_ms(first_action_at) - epoch_ms(first_user_msg_at) BETWEEN 0 AND 7200000)"""
+  WHERE (epoch_us(first_action_at)//1000) - (epoch_us(first_user_msg_at)//1000) BETWEEN 0 AND 7200000)"""
 SCORE = ",".join([ROLL, COV, LOOPS, TURNS, RATIO, LATENCY]) + """,
 nl AS (SELECT session_id, COUNT(*) AS stuck FROM loops GROUP BY 1),
 j AS (SELECT r.*, c.ok, COALESCE(nl.stuck, 0) AS stuck, t.user_turns AS ut, t.tools_per_turn, q.ratio AS rt, l.latency_ms AS lm
@@ -313,14 +313,14 @@ SELECT tool_name, dimension, value, count FROM r WHERE dimension NOT IN ('comman
     o["session_rollups"] = f"{K}, {ROLL} SELECT {ROLL_COLS} FROM roll"
     o["dark_spend"] = f"{K}, {ROLL} SELECT {ROLL_COLS} FROM roll WHERE loc_delta > 0 ORDER BY tokens / GREATEST(loc_delta, 1) DESC, session_id LIMIT 50"
     o["zero_code"] = f"{K}, {ROLL} SELECT {ROLL_COLS} FROM roll WHERE loc_delta = 0 ORDER BY tokens DESC, session_id LIMIT 50"
-    o["session_activity"] = f"""{K}, b AS (SELECT session_id, MIN(epoch_ms(ts)) AS lo, MAX(epoch_ms(ts)) AS hi FROM traces WHERE {HAS} GROUP BY 1),
+    o["session_activity"] = f"""{K}, b AS (SELECT session_id, MIN((epoch_us(ts)//1000)) AS lo, MAX((epoch_us(ts)//1000)) AS hi FROM traces WHERE {HAS} GROUP BY 1),
 w AS (SELECT *, GREATEST(1, (hi - lo) // 60) AS width FROM b),
-n AS (SELECT t.session_id, CASE WHEN hi <= lo THEN 0 ELSE LEAST(59, (epoch_ms(ts) - lo) // width) END AS bucket, COUNT(*) AS entries
+n AS (SELECT t.session_id, CASE WHEN hi <= lo THEN 0 ELSE LEAST(59, ((epoch_us(ts)//1000) - lo) // width) END AS bucket, COUNT(*) AS entries
   FROM traces t JOIN w USING (session_id) GROUP BY 1, 2),
 f AS (SELECT session_id, lo, width, unnest(CASE WHEN hi <= lo THEN [0] ELSE range(60) END) AS bucket FROM w)
 SELECT session_id, CAST(bucket AS INTEGER) AS bucket, lo + bucket * width AS bucket_ms, COALESCE(entries, 0) AS entries
 FROM f LEFT JOIN n USING (session_id, bucket)"""
-    o["idle_segments"] = f"""{K}, a AS (SELECT session_id, epoch_ms(ts) AS ms, LAG(epoch_ms(ts)) OVER (PARTITION BY session_id ORDER BY ts) AS prev FROM traces WHERE {HAS}),
+    o["idle_segments"] = f"""{K}, a AS (SELECT session_id, (epoch_us(ts)//1000) AS ms, LAG((epoch_us(ts)//1000)) OVER (PARTITION BY session_id ORDER BY ts) AS prev FROM traces WHERE {HAS}),
 s AS (SELECT session_id, ms, SUM(CASE WHEN prev IS NULL OR ms - prev > 300000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ms RANGE UNBOUNDED PRECEDING) AS segment FROM a)
 SELECT session_id, CAST(segment AS BIGINT) AS segment, MIN(ms) AS started_ms, MAX(ms) AS ended_ms, COUNT(*) AS entries FROM s GROUP BY 1, 2"""
     summary = f"""SELECT session_id, MIN(agent) AS agent, MIN(project) AS project, {ts('MIN(ts)')} AS started, {ts('MAX(ts)')} AS ended,
@@ -404,7 +404,7 @@ ORDER BY g.ts DESC, repo, commit_sha LIMIT 100"""
 m AS (SELECT session_id, agent, MAX(project) AS project, MIN(ts) AS s, MAX(ts) AS e, COUNT(*) AS entries, {tokens} FROM traces
   WHERE session_id IN (SELECT session_id FROM c) GROUP BY 1, 2)
 SELECT session_id, agent, project, {ts('s')} AS started, {ts('e')} AS ended, entries, input_tokens, output_tokens, cache_read,
-  epoch_ms(e) - epoch_ms(s) AS duration_ms, commits FROM m LEFT JOIN c USING (session_id)"""
+  (epoch_us(e)//1000) - (epoch_us(s)//1000) AS duration_ms, commits FROM m LEFT JOIN c USING (session_id)"""
     o["git_session_commits"] = f"""{K} SELECT {COMMIT_PLAIN} FROM git_events WHERE session_id IN (
   SELECT session_id FROM git_events WHERE {HAS} AND ts >= DATE '2024-01-31' - INTERVAL 10 DAY)"""
     slim_cols = "commit_sha, timestamp_text, day, project, loc_delta, n_files, has_test, agent"
@@ -429,7 +429,7 @@ SELECT CAST(bin AS INTEGER) AS bin, COALESCE(a, 0) AS agent_commits, COALESCE(h,
     # ---- attribution
     o["session_windows"] = f"{RAW}, {WIN} SELECT project, session_id, agent, lo AS start_ms, hi AS end_ms FROM win"
     o["attribute_at_scan"] = f"""{RAW}, {WIN}, m AS (SELECT c.commit_sha, w.session_id, w.agent, ROW_NUMBER() OVER (PARTITION BY c.commit_sha ORDER BY w.lo, w.session_id) AS rn
-  FROM commits c JOIN win w ON w.project = c.project AND epoch_ms(c.ts) BETWEEN w.lo AND w.hi)
+  FROM commits c JOIN win w ON w.project = c.project AND (epoch_us(c.ts)//1000) BETWEEN w.lo AND w.hi)
 SELECT commit_sha, agent_authored OR m.session_id IS NOT NULL AS agent_authored,
   CASE WHEN agent_authored THEN agent_name ELSE m.agent END AS agent_name, m.session_id
 FROM commits LEFT JOIN (SELECT * FROM m WHERE rn = 1) m USING (commit_sha)"""
