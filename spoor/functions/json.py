@@ -16,16 +16,20 @@ def get(v: Column, path: str) -> Column:
 
 
 def kind(v: Column) -> Column:
+    """Type name of a scalar. Not for objects or arrays: it spells out their whole
+    schema."""
     return F.schema_of_variant(v)
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(kind(v).startswith("OBJECT"), F.lit(False))
+def is_object_text(line: Column) -> Column:
+    """Text of a JSON object, by its first character."""
+    return F.ltrim(line).startswith("{")
 
 
 def present(v: Column, path: str) -> Column:
     """The key is there and not JSON null."""
-    return F.coalesce(kind(get(v, path)) != "VOID", F.lit(False))
+    sub = get(v, path)
+    return sub.isNotNull() & ~F.coalesce(F.is_variant_null(sub), F.lit(True))
 
 
 def text(v: Column, path: str = "$") -> Column:
@@ -35,17 +39,15 @@ def text(v: Column, path: str = "$") -> Column:
 
 def loose_text(v: Column, path: str) -> Column:
     """Any scalar as text; array elements joined by commas; NULL when empty."""
-    k = kind(get(v, path))
-    as_text = F.when(
-        k.startswith("ARRAY"), F.array_join(F.try_variant_get(v, path, "array<string>"), ",")
-    ).otherwise(F.try_variant_get(v, path, "string"))
-    return F.when((k != "VOID") & (as_text != ""), as_text)
+    as_text = F.coalesce(
+        F.array_join(F.try_variant_get(v, path, "array<string>"), ","), F.try_variant_get(v, path, "string"))
+    return F.when(as_text != "", as_text)
 
 
 def integer(v: Column, path: str) -> Column:
     """A number, truncated towards zero."""
     number = F.try_variant_get(v, path, "decimal(38,9)").try_cast("bigint")
-    return F.when(kind(get(v, path)).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), number)
+    return F.when(~kind(get(v, path)).isin("STRING", "BOOLEAN"), number)
 
 
 def boolean(v: Column, path: str) -> Column:
@@ -54,9 +56,9 @@ def boolean(v: Column, path: str) -> Column:
 
 def elements(v: Column, path: str = "$") -> Column:
     """array<variant>, NULL when the value is not an array."""
-    return F.when(kind(get(v, path)).startswith("ARRAY"), F.try_variant_get(v, path, "array<variant>"))
+    return F.try_variant_get(v, path, "array<variant>")
 
 
 def strings(v: Column, path: str) -> Column:
     """Array items as text, NULL when the value is not an array."""
-    return F.when(kind(get(v, path)).startswith("ARRAY"), F.try_variant_get(v, path, "array<string>"))
+    return F.try_variant_get(v, path, "array<string>")

@@ -34,6 +34,13 @@ def nonempty(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def captured(c: Column | str, pattern: str, type_: str) -> Column:
+    """First group of a pattern as a number; NULL when there is no match. The empty
+    text of a miss is not handed to the cast, where it costs an exception."""
+    hit = F.regexp_extract(c, pattern, 1)
+    return F.when(hit != "", hit).try_cast(type_)
+
+
 def json_text(c: Column) -> Column:
     """A string as a JSON string literal."""
     # to_json of a one-field struct is {"s":"..."}; keep the value.

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoor import fixed_values as V
+from spoor import session
 from spoor.operators import attribution as A
 from spoor.operators import commits as C
 from spoor.operators import detectors as D
@@ -57,8 +58,7 @@ def _ws(fn: Callable[[Workspace], DataFrame], linked: bool = True, **kw) -> Quer
 
 def _raw(fn: Callable[[SparkSession, str], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return portable(fn(spark, sf_dir))
+        return portable(fn(session.configure(spark), sf_dir))
 
     return run
 

@@ -113,7 +113,7 @@ def read_batch_metadata(spark: SparkSession, glob: str) -> DataFrame:
     from spoor.functions import json as J
 
     v = F.col("v")
-    docs = spark.read.text(glob, wholetext=True).select(J.parse(F.col("value")).alias("v")).where(J.is_object(v))
+    docs = spark.read.text(glob, wholetext=True).where(J.is_object_text(F.col("value"))).select(J.parse(F.col("value")).alias("v")).where(v.isNotNull())
     names = ["batchId", "developer", "machine", "agent", "project", "shippedAt", "receivedAt", "filePath"]
     return docs.select(*[J.text(v, f"$.{n}").alias(n) for n in names], J.integer(v, "$.entryCount").alias("entryCount"))
 

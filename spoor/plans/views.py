@@ -6,9 +6,14 @@ that a query and its cross-check read identical inputs.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spoor import schema as S
+from spoor import session
+from spoor.operators.security import extract_findings
 from spoor.workspace import Workspace
 
 DIALECTS = {
@@ -102,7 +107,12 @@ def view_sql(dialect: str) -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. The files are small and have one row group; where a scan
+    gives fewer partitions than there are cores its rows are spread over them. A
+    large table has more splits than that and is left alone."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,12 +134,18 @@ def commits(spark: SparkSession, sf_dir: str, linked: bool = True) -> DataFrame:
     return rows.withColumn("session_id", session)
 
 
-def workspace(spark: SparkSession, sf_dir: str, linked: bool = True, **kw) -> Workspace:
-    from spoor.operators.security import extract_findings
+@lru_cache(maxsize=8)
+def _tables(spark: SparkSession, sf_dir: str, linked: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Plans of the three tables. Plans hold no data: building them once per
+    session only saves time on the driver."""
+    t = S.conform(traces(spark, sf_dir), S.TRACES)
+    return t, S.conform(commits(spark, sf_dir, linked), S.GIT_EVENTS), extract_findings(t)
 
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    t = Workspace.of(traces=traces(spark, sf_dir), git=commits(spark, sf_dir, linked), **kw)
-    return Workspace(traces=t.traces, git=t.git, findings=extract_findings(t.traces), **kw)
+
+def workspace(spark: SparkSession, sf_dir: str, linked: bool = True, **kw) -> Workspace:
+    session.configure(spark)
+    t, git, findings = _tables(spark, sf_dir, linked)
+    return Workspace(traces=t, git=git, findings=findings, **kw)
 
 
 def duckdb_views(linked: bool = True) -> str:

@@ -17,7 +17,7 @@ def _composers(kv: DataFrame) -> DataFrame:
     made = J.integer(v, "$.createdAt")
     return (
         kv.where(F.col("key").startswith("composerData:"))
-        .withColumn("v", J.parse(F.col("value"))).where(J.is_object(v))
+        .withColumn("v", J.parse(F.col("value"))).where(v.isNotNull())
         .select(
             J.text(v, "$.composerId").alias("session_id"),
             F.coalesce(F.when(made != 0, F.date_format(F.timestamp_millis(made), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")),
@@ -32,7 +32,7 @@ def _bubbles(kv: DataFrame) -> DataFrame:
     return (
         kv.where(F.col("key").startswith("bubbleId:"))
         .withColumn("session_id", F.get(F.split("key", ":", 3), F.lit(1)))
-        .withColumn("b", J.parse(F.col("value"))).where(J.is_object(F.col("b")))
+        .withColumn("b", J.parse(F.col("value"))).where(F.col("b").isNotNull())
     )
 
 

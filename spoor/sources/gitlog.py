@@ -44,7 +44,7 @@ def parse(chunks: DataFrame) -> DataFrame:
     )
 
     def number(t: Column, i: int) -> Column:
-        return F.coalesce(F.regexp_extract(t[i], r"^\s*(-?\d+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+        return F.coalesce(X.captured(t[i], r"^\s*(-?\d+)", "bigint"), F.lit(0).cast("bigint"))
 
     def total(i: int) -> Column:
         return F.aggregate("stats", F.lit(0).cast("bigint"), lambda acc, t: acc + number(t, i))

@@ -37,7 +37,8 @@ def _typed(lines: DataFrame, schema) -> DataFrame:
             J.integer(v, "$.tokenUsage." + _CAMEL.get(u.name, u.name)).alias(u.name) for u in S.USAGE.fields
         ])).alias("usage"))
     keep = [c for c in lines.columns if c not in ("line", "v")]
-    rows = lines.withColumn("v", J.parse(F.col("line"))).where(J.is_object(v)).select(*keep, *cols)
+    objects = lines.where(J.is_object_text(F.col("line")))
+    rows = objects.withColumn("v", J.parse(F.col("line"))).where(v.isNotNull()).select(*keep, *cols)
     return S.conform(rows.withColumn("ts", clock.parse_ts(F.col("timestamp_text"))), schema)
 
 
@@ -53,7 +54,7 @@ def parse_git(lines: DataFrame) -> DataFrame:
 def malformed(lines: DataFrame) -> DataFrame:
     """How many lines a parse leaves out."""
     return lines.where(F.col("line") != "").agg(
-        F.count(F.lit(1)).alias("lines"), F.count_if(~J.is_object(J.parse(F.col("line")))).alias("skipped"))
+        F.count(F.lit(1)).alias("lines"), F.count_if(~J.is_object_text(F.col("line")) | J.parse(F.col("line")).isNull()).alias("skipped"))
 
 
 def read_traces(spark: SparkSession, root: str) -> DataFrame:
@@ -71,7 +72,7 @@ def parse_usage(documents: DataFrame) -> DataFrame:
     v = F.col("v")
     day = J.loose_text(v, "$.date")
     zero = F.lit(0).cast("bigint")
-    rows = documents.withColumn("v", J.parse(F.col("doc"))).where(day.isNotNull() & J.is_object(J.get(v, "$.totals")))
+    rows = documents.withColumn("v", J.parse(F.col("doc"))).where(day.isNotNull() & J.present(v, "$.totals"))
     stamp = F.concat(day, F.lit("T23:59:00.000Z"))
     return S.conform(rows.select(
         F.concat(F.lit("cursor-usage-"), day).alias("id"), stamp.alias("timestamp_text"),
