@@ -13,9 +13,13 @@ WS = f"[{SPACE}]"
 NOT_WS = f"[^{SPACE}]"
 
 
+WS_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim_all(c: Column) -> Column:
-    """Strip every kind of whitespace (SQL ``trim`` strips spaces only)."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    """Strip every kind of whitespace (plain ``trim`` strips spaces only). Looks at
+    the ends of the text, not at all of it."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def starts_with_any(c: Column, prefixes: list[str]) -> Column:

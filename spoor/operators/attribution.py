@@ -96,22 +96,21 @@ def activity_links(git: DataFrame, traces: DataFrame, within_ms: int = V.ACTIVIT
 
 def link_commits(git: DataFrame, traces: DataFrame) -> DataFrame:
     """Fill the session of agent-authored commits: window pass, then nearest
-    activity for what is left. Human commits are never promoted."""
-    columns = git.columns
-
-    def fill(df: DataFrame, session: Column, agent: Column | None) -> DataFrame:
-        new = {"session_id": F.coalesce(F.col("session_id"), session)}
-        if agent is not None:
-            new["agent_name"] = F.coalesce(F.col("agent_name"), agent)
-        return df.select(*[new.get(c, F.col(c)).alias(c) for c in columns])
-
-    authored = F.col("agent_authored")
-    first = _keyed(git).join(window_links(git, traces), KEY, "left").withColumn(
-        "win", F.when(authored & F.col("session_id").isNull(), F.col("win")))
-    first = fill(first, F.col("win.session_id"), F.col("win.agent"))
-    second = _keyed(first).join(activity_links(first, traces), KEY, "left").withColumn(
-        "near_session", F.when(authored & F.col("session_id").isNull(), F.col("near_session")))
-    return fill(second, F.col("near_session"), None)
+    activity for what is left. Human commits are never promoted.
+
+    Neither pass reads the other's result: both run over all orphans and the window
+    wins. That costs the second pass a few more points and saves running the first
+    one twice.
+    """
+    orphan = F.col("agent_authored") & F.col("session_id").isNull()
+    new = {
+        "session_id": F.coalesce("session_id", F.when(orphan, F.coalesce("win.session_id", "near_session"))),
+        "agent_name": F.coalesce("agent_name", F.when(orphan, F.col("win.agent"))),
+    }
+    return (
+        _keyed(git).join(window_links(git, traces), KEY, "left").join(activity_links(git, traces), KEY, "left")
+        .select(*[new.get(c, F.col(c)).alias(c) for c in git.columns])
+    )
 
 
 def filter_author(git: DataFrame, developer: str | None) -> DataFrame:
