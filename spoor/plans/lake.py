@@ -197,12 +197,8 @@ def build_tables(spark: SparkSession, root: str, out: str, developer: str | None
     """Normalised text files to the three query tables: traces with usage rows,
     findings, commits of one developer linked to sessions."""
     traces = normalised.read_traces(spark, root)
-    for extra in (normalised.read_usage,):
-        try:
-            traces = traces.unionByName(extra(spark, root))
-        except Exception as e:  # the sidecars are optional
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+    if normalised.stage_usage(spark, root, f"{out}/usage"):
+        traces = traces.unionByName(normalised.read_usage(spark, f"{out}/usage"))
     write_traces(with_event_date(traces), f"{out}/traces", mode="overwrite")
     stored = read_traces(spark, f"{out}/traces")
     security.extract_findings(stored).write.mode("overwrite").parquet(f"{out}/findings")

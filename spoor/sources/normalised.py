@@ -83,8 +83,23 @@ def parse_usage(documents: DataFrame) -> DataFrame:
     ), S.TRACES)
 
 
-def read_usage(spark: SparkSession, root: str) -> DataFrame:
-    return parse_usage(spark.read.text(f"{root}/*/cursor/_usage.json", wholetext=True).withColumnRenamed("value", "doc"))
+def stage_usage(spark: SparkSession, root: str, staged: str) -> int:
+    """Copy ``{date}/cursor/_usage.json`` documents to visible names: Spark passes
+    over files that begin with an underscore. One small file per day; only their
+    paths are listed here. Returns how many there are."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/*/cursor/_usage.json")
+    fs = pattern.getFileSystem(conf)
+    found = fs.globStatus(pattern) or []
+    for status in found:
+        src = status.getPath()
+        dst = jvm.org.apache.hadoop.fs.Path(f"{staged}/usage-{src.getParent().getParent().getName()}.json")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, src, dst.getFileSystem(conf), dst, False, True, conf)
+    return len(found)
+
+
+def read_usage(spark: SparkSession, staged: str) -> DataFrame:
+    return parse_usage(spark.read.text(f"{staged}/usage-*.json", wholetext=True).withColumnRenamed("value", "doc"))
 
 
 def parse_settings(files: DataFrame) -> DataFrame:

@@ -41,9 +41,10 @@ def token_counters(traces: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 def finding_counters(traces: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Redaction markers per day and pattern."""
+    """Redaction markers per day and pattern. Rows without a marker still move the
+    watermark."""
     return (
-        _watermarked(extract_findings(traces), lateness)
+        extract_findings(_watermarked(traces, lateness))
         .groupBy(F.window("ts", "1 day").alias("w"), "pattern_type").agg(F.count(F.lit(1)).alias("count"))
         .select(F.to_date("w.start").alias("date"), "pattern_type", "count")
     )
