@@ -577,12 +577,24 @@ FROM orders WHERE o_orderkey % 5 IN (1, 4) GROUP BY 1"""
   AND (split_part(repo, '/', 1), project) IN (SELECT (split_part(repo, '/', 1), project) FROM git_events WHERE agent_name IN ('codex', 'cursor')) GROUP BY 1"""
     batch = f"{ev}, b AS (SELECT user_id, (us - 1704067200000000) // 86400000000 AS day, COUNT(*) AS n FROM ev GROUP BY 1, 2)"
     o["ingest_new"] = f"""{batch}, d AS (SELECT *, DATE '2024-01-01' + CAST(day AS INTEGER) AS dt FROM b WHERE day >= 10)
-SELECT 'dev' || user_id AS developer, 'b' || day AS "batchId", strftime(dt, '%Y') AS year, strftime(dt, '%m') AS month, strftime(dt, '%d') AS day,
-  CASE WHEN user_id % 2 = 0 THEN 'claude_code' ELSE 'codex' END AS agent, substr(sha256('dev' || user_id), 1, 12) AS dev, n AS entries FROM d"""
+SELECT 'dev' || user_id % 7 AS developer, 'b' || user_id || '-' || day AS "batchId", strftime(dt, '%Y') AS year, strftime(dt, '%m') AS month, strftime(dt, '%d') AS day,
+  CASE WHEN user_id % 2 = 0 THEN 'claude_code' ELSE 'codex' END AS agent, substr(sha256('dev' || user_id % 7), 1, 12) AS dev, n AS entries FROM d"""
     twice = "SELECT * FROM b UNION ALL SELECT * FROM b WHERE (user_id + day) % 3 = 0"
     o["batch_catalogue"] = f"""{batch}, x AS ({twice}) SELECT CASE WHEN user_id % 2 = 0 THEN 'claude_code' ELSE 'codex' END AS agent, COUNT(*) AS batches,
   CAST(SUM(n) AS BIGINT) AS entries FROM x GROUP BY 1"""
     o["bind_tenant"] = f"{batch}, x AS ({twice}) SELECT day % 7 <> 0 AS accepted, COUNT(*) AS batches FROM x GROUP BY 1"
+    # Streams give what the watermark has passed: the newest row less the lateness.
+    mark = "(SELECT epoch_us(MAX(ts)) // 1000 * 1000 FROM traces WHERE {0}) - {1}"
+    o["live_sessions"] = f"""{K}, a AS (SELECT session_id, epoch_us(ts) AS us, LAG(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts) AS prev FROM traces WHERE {HAS}),
+s AS (SELECT session_id, us, SUM(CASE WHEN prev IS NULL OR us - prev > 300000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY us RANGE UNBOUNDED PRECEDING) AS seg FROM a),
+g AS (SELECT session_id, seg, MIN(us) AS lo, MAX(us) AS hi, COUNT(*) AS entries FROM s GROUP BY 1, 2)
+SELECT session_id, {ts('make_timestamp(lo)')} AS started, {ts('make_timestamp(hi)')} AS ended, entries, hi // 1000 - lo // 1000 AS active_ms FROM g
+WHERE hi + 300000000 <= {mark.format(HAS, 3600000000)}"""
+    closed = "(epoch_us(CAST(ts AS DATE) + INTERVAL 1 DAY) <= " + mark.format("TRUE", 86400000000) + ")"
+    o["live_token_counters"] = f"{K} SELECT {DAY} AS date, agent, COUNT(*) AS count, {SUM_TT} AS total_tokens FROM traces WHERE {closed} GROUP BY 1, 2"
+    o["live_finding_counters"] = f"{K}, {FIND} SELECT {DAY} AS date, pattern_type, COUNT(*) AS count FROM findings WHERE {closed} GROUP BY 1, 2"
+    o["admit_stream"] = f"{ev} SELECT COUNT(DISTINCT event_id // 2) AS nonces FROM ev WHERE k % 4 <> 0"
+    o["ingest_stream"] = o["ingest_new"].replace("FROM b WHERE day >= 10", "FROM b")
     o["admit"] = f"""{ev} SELECT COUNT(DISTINCT event_id // 2) AS admitted, COUNT(DISTINCT 'n' || event_id // 2) AS nonces FROM ev WHERE k % 4 <> 0"""
 
     def entries(shift: int) -> str:

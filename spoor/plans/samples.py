@@ -298,8 +298,8 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         ev.groupBy("user_id", day.alias("day"))
         .agg(F.array_sort(F.collect_list(F.concat(F.lit('{"n":'), _key("event_id"), F.lit("}")))).alias("entries"))
         .select(
-            F.concat(F.lit("b"), _key("day")).alias("batchId"),
-            F.concat(F.lit("dev"), _key("user_id")).alias("developer"),
+            F.concat(F.lit("b"), _key("user_id"), F.lit("-"), _key("day")).alias("batchId"),
+            F.concat(F.lit("dev"), (F.col("user_id") % 7).cast("string")).alias("developer"),
             F.lit("h").alias("machine"), F.when(F.col("user_id") % 2 == 0, "claude_code").otherwise("codex").alias("agent"),
             F.lit("p").alias("project"), F.concat(F.lit("/logs/u"), _key("user_id"), F.lit(".jsonl")).alias("sourceFile"),
             _iso(F.lit(BASE_MS) + F.col("day") * 86_400_000).alias("shippedAt"),
@@ -331,14 +331,19 @@ def bind_tenant(spark, sf_dir):
     return G.bind_tenant(sent, keys).groupBy("accepted").agg(F.count(F.lit(1)).alias("batches"))
 
 
-def admit(spark, sf_dir):
-    ev = spark.sql(views.view_sql("spark")["ev"].replace("FROM events", "FROM {events}"),
-                   events=views.table(spark, sf_dir, "events"))
-    requests = ev.select(
+def requests(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """One request per event: half the clocks are off, two events share a nonce."""
+    events = views.table(spark, sf_dir, "events") if events is None else events
+    ev = spark.sql(views.view_sql("spark")["ev"].replace("FROM events", "FROM {events}"), events=events)
+    return ev.select(
         "event_id", F.timestamp_micros("us").alias("received_at"),
         (F.floor(F.col("us") / 1_000_000) - F.when(F.col("k") % 4 == 0, 301).when(F.col("k") % 4 == 1, -300).otherwise(0)).alias("sent_at"),
         F.concat(F.lit("n"), F.floor(F.col("event_id") / 2).cast("string")).alias("nonce"))
-    return ingest.admit(requests).agg(F.count(F.lit(1)).alias("admitted"), F.countDistinct("nonce").alias("nonces"))
+
+
+def admit(spark, sf_dir):
+    return ingest.admit(requests(spark, sf_dir)).agg(
+        F.count(F.lit(1)).alias("admitted"), F.countDistinct("nonce").alias("nonces"))
 
 
 ENTRY_SHAPES = [

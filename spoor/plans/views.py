@@ -115,9 +115,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def traces(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Trace rows from the events table, or from a stream of it."""
     sql = view_sql("spark")
-    ev = spark.sql(sql["ev"].replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    events = table(spark, sf_dir, "events") if events is None else events
+    ev = spark.sql(sql["ev"].replace("FROM events", "FROM {events}"), events=events)
     flat = spark.sql(sql["traces"].replace("FROM ev", "FROM {ev}"), ev=ev)
     usage = F.struct(
         F.col("tok_input").alias("input"), F.col("tok_output").alias("output"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -13,9 +16,20 @@ SETTINGS = {
     # (the parsers) exceed that in whole-stage form; past the limit Spark generates
     # split functions instead, which are compiled.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Rows of one session meet inside a partition before a streaming shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for stream state and results: under the shared folder the
+    cluster names in spark.checkpoint.dir, else (local runs) a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/spoor/{name}-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix=f"spoor-{name}-")
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a running session; resources stay the cluster's."""
     for key, value in SETTINGS.items():
