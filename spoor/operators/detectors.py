@@ -141,18 +141,21 @@ def _with_latency(ws: Workspace, f: Filters, metrics: DataFrame) -> DataFrame:
         metrics.withColumn("first_action_at", action)
         .select("session_id", "first_action_at", F.struct(*metrics.columns).alias("m"), F.explode(slots).alias("slot"))
     )
+    # At most one row per millisecond: a slot stays bounded however busy it was.
+    said = clock.ms(F.col("ts"))
     messages = (
         ws.trace_rows(f, calls.is_user_message(), _has_session())
-        .select(F.col("session_id").alias("s"), clock.slot(clock.ms(F.col("ts"))).alias("t"), F.col("ts").alias("msg_at"))
-        .distinct()
+        .groupBy(F.col("session_id").alias("s"), clock.slot(said).alias("t"), said.alias("said"))
+        .agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     )
-    hit = (F.col("session_id") == F.col("s")) & (F.col("slot") == F.col("t")) & (F.col("msg_at") <= F.col("first_action_at"))
+    hit = (F.col("session_id") == F.col("s")) & (F.col("slot") == F.col("t")) & (F.col("lo") <= F.col("first_action_at"))
+    msg_at = F.when(F.col("hi") <= F.col("first_action_at"), F.col("hi")).otherwise(F.col("lo"))
     latency = at - clock.ms(F.col("first_user_msg_at"))
     return (
         probes.join(messages, hit, "left")
         .groupBy("session_id").agg(
             F.any_value("m").alias("m"), F.max("first_action_at").alias("first_action_at"),
-            F.max("msg_at").alias("first_user_msg_at"))
+            F.max(msg_at).alias("first_user_msg_at"))
         .select("m.*", "first_action_at", "first_user_msg_at",
                 F.when(latency.between(0, V.MAX_LATENCY_MS), latency).alias("latency_ms"))
     )

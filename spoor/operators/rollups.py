@@ -56,7 +56,8 @@ def autonomy_summary(ws: Workspace, f: Filters = NO_FILTER) -> DataFrame:
     totals = hist.groupBy("k").agg(
         F.sum("n").alias("total"), F.sum("turns").alias("total_turns"),
         F.coalesce(F.sum(F.when(F.col("tools_per_turn") > 0, F.col("n"))), _zero()).alias("active_count"))
-    return totals.join(middle.select("k", "upper"), "k", "left").select(
+    # One group, one value: a scalar subquery, not a join.
+    return totals.withColumn("upper", middle.select("upper").scalar()).select(
         "total", "total_turns", (F.col("total_turns") / F.col("total")).alias("avg_turns"),
         F.coalesce("upper", F.lit(0.0)).alias("median_tools_per_turn"), "active_count",
         (F.col("total") - F.col("active_count")).alias("chat_only"))

@@ -575,9 +575,9 @@ SELECT pattern_type, COUNT(*) AS count FROM m GROUP BY 1"""
 FROM orders WHERE o_orderkey % 5 IN (1, 4) GROUP BY 1"""
     o["in_scope"] = f"""{K} SELECT project, COUNT(*) AS n FROM git_events WHERE project NOT IN ('p2', 'p5')
   AND (split_part(repo, '/', 1), project) IN (SELECT (split_part(repo, '/', 1), project) FROM git_events WHERE agent_name IN ('codex', 'cursor')) GROUP BY 1"""
-    batch = f"{ev}, b AS (SELECT user_id, (us - 1704067200000000) // 86400000000 AS day, COUNT(*) AS n FROM ev GROUP BY 1, 2)"
+    batch = f"{ev}, b AS (SELECT user_id, (us - 1704067200000000) // 86400000000 AS day, event_id // 5000 AS piece, COUNT(*) AS n FROM ev GROUP BY 1, 2, 3)"
     o["ingest_new"] = f"""{batch}, d AS (SELECT *, DATE '2024-01-01' + CAST(day AS INTEGER) AS dt FROM b WHERE day >= 10)
-SELECT 'dev' || user_id % 7 AS developer, 'b' || user_id || '-' || day AS "batchId", strftime(dt, '%Y') AS year, strftime(dt, '%m') AS month, strftime(dt, '%d') AS day,
+SELECT 'dev' || user_id % 7 AS developer, 'b' || user_id || '-' || day || '-' || piece AS "batchId", strftime(dt, '%Y') AS year, strftime(dt, '%m') AS month, strftime(dt, '%d') AS day,
   CASE WHEN user_id % 2 = 0 THEN 'claude_code' ELSE 'codex' END AS agent, substr(sha256('dev' || user_id % 7), 1, 12) AS dev, n AS entries FROM d"""
     twice = "SELECT * FROM b UNION ALL SELECT * FROM b WHERE (user_id + day) % 3 = 0"
     o["batch_catalogue"] = f"""{batch}, x AS ({twice}) SELECT CASE WHEN user_id % 2 = 0 THEN 'claude_code' ELSE 'codex' END AS agent, COUNT(*) AS batches,

@@ -290,15 +290,16 @@ def in_scope(spark, sf_dir):
 
 
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shipped batches: the lines of a user's day; one in three comes twice."""
+    """Shipped batches: the lines of a user's day, in pieces of bounded size; one in
+    three comes twice."""
     ev = spark.sql(views.view_sql("spark")["ev"].replace("FROM events", "FROM {events}"),
                    events=views.table(spark, sf_dir, "events"))
     day = F.floor((F.col("us") - BASE_MS * 1000) / 86_400_000_000)
     one = (
-        ev.groupBy("user_id", day.alias("day"))
+        ev.groupBy("user_id", day.alias("day"), F.floor(F.col("event_id") / V.BATCH_MAX_ENTRIES).alias("piece"))
         .agg(F.array_sort(F.collect_list(F.concat(F.lit('{"n":'), _key("event_id"), F.lit("}")))).alias("entries"))
         .select(
-            F.concat(F.lit("b"), _key("user_id"), F.lit("-"), _key("day")).alias("batchId"),
+            F.concat(F.lit("b"), _key("user_id"), F.lit("-"), _key("day"), F.lit("-"), _key("piece")).alias("batchId"),
             F.concat(F.lit("dev"), (F.col("user_id") % 7).cast("string")).alias("developer"),
             F.lit("h").alias("machine"), F.when(F.col("user_id") % 2 == 0, "claude_code").otherwise("codex").alias("agent"),
             F.lit("p").alias("project"), F.concat(F.lit("/logs/u"), _key("user_id"), F.lit(".jsonl")).alias("sourceFile"),

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join even where that costs a shuffle further on.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # The JVM does not compile methods above 8000 bytes of code. Wide projections
     # (the parsers) exceed that in whole-stage form; past the limit Spark generates
     # split functions instead, which are compiled.
