@@ -517,7 +517,7 @@ SELECT 'u' || user_id AS session_id, {ts('date_trunc(' + "'millisecond'" + ', ma
   CASE event_type WHEN 'click' THEN 'tool_call' WHEN 'error' THEN 'tool_result' WHEN 'view' THEN 'token_usage' ELSE 'message' END AS entry_type,
   CASE event_type WHEN 'click' THEN 'assistant' WHEN 'error' THEN 'tool' WHEN 'view' THEN 'system' ELSE 'user' END AS role, model,
   CASE WHEN event_type = 'view' THEN k END AS input, CASE WHEN event_type = 'view' THEN k * 3 END AS cache_read,
-  CASE WHEN event_type = 'view' THEN 1 END AS reasoning,
+  CASE WHEN event_type = 'view' THEN CAST(1 AS BIGINT) END AS reasoning,
   CASE WHEN event_type = 'click' THEN CASE WHEN k % 2 = 0 THEN 'shell' ELSE 'mcp:db:query' END END AS tool_name,
   CASE WHEN event_type IN ('click', 'error') THEN 'c' || k END AS tool_call_id,
   CASE WHEN event_type = 'click' THEN 'run ' || k END AS command, CASE WHEN event_type = 'purchase' THEN 'do ' || k END AS user_prompt,
@@ -580,6 +580,7 @@ FROM orders WHERE o_orderkey % 5 IN (1, 4) GROUP BY 1"""
 SELECT 'dev' || user_id % 7 AS developer, 'b' || user_id || '-' || day || '-' || piece AS "batchId", strftime(dt, '%Y') AS year, strftime(dt, '%m') AS month, strftime(dt, '%d') AS day,
   CASE WHEN user_id % 2 = 0 THEN 'claude_code' ELSE 'codex' END AS agent, substr(sha256('dev' || user_id % 7), 1, 12) AS dev, n AS entries FROM d"""
     twice = "SELECT * FROM b UNION ALL SELECT * FROM b WHERE (user_id + day) % 3 = 0"
+    o["batch_ids"] = """SELECT event_id, substr(sha256('/logs/u' || user_id || ':' || event_id || ':' || (event_id + user_id) || ':' || user_id % 9), 1, 16) AS batch_id FROM events"""
     o["batch_catalogue"] = f"""{batch}, x AS ({twice}) SELECT CASE WHEN user_id % 2 = 0 THEN 'claude_code' ELSE 'codex' END AS agent, COUNT(*) AS batches,
   CAST(SUM(n) AS BIGINT) AS entries FROM x GROUP BY 1"""
     o["bind_tenant"] = f"{batch}, x AS ({twice}) SELECT day % 7 <> 0 AS accepted, COUNT(*) AS batches FROM x GROUP BY 1"

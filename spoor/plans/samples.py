@@ -319,6 +319,14 @@ def ingest_new(spark, sf_dir):
                         F.size("entries").cast("bigint").alias("entries"))
 
 
+def batch_ids(spark, sf_dir):
+    """Ids of byte ranges of a log."""
+    ev = views.table(spark, sf_dir, "events")
+    at, user = F.col("event_id"), F.col("user_id")
+    return ev.select("event_id", G.batch_id(
+        F.concat(F.lit("/logs/u"), _key("user_id")), at, at + user, user % 9).alias("batch_id"))
+
+
 def batch_catalogue(spark, sf_dir):
     return lake.catalogue(batches(spark, sf_dir)).groupBy("agent").agg(
         F.count(F.lit(1)).alias("batches"), F.sum("entryCount").alias("entries"))
@@ -469,7 +477,7 @@ def git_backfill(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     claude_parse, codex_parse, cursor_parse, gitlog_parse, normalised_roundtrip, usage_sidecars,
     secret_scan, redact_documents, redaction_markers, org_and_repo, drop_ephemeral, in_scope,
-    ingest_new, batch_catalogue, bind_tenant, admit, merge_allow_lists, broadening, mark_existing,
+    ingest_new, batch_ids, batch_catalogue, bind_tenant, admit, merge_allow_lists, broadening, mark_existing,
     expand_rules, format_rules, settings_union, settings_sources, detect_agent, export_new,
     git_since_mark, git_next_marks, git_backfill,
 )}
