@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spoor import fixed_values as V
 from spoor import session
 from spoor.operators import attribution as A
 from spoor.operators import commits as C
