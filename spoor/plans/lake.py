@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,7 +142,7 @@ def repartition_by_event(batches: DataFrame, path: str, disclosure: str, redact:
 def erase_from_raw(spark: SparkSession, path: str, developer: str) -> int:
     """Delete every raw partition of one developer, over all dates. Works on
     directory names; returns how many went."""
-    dev = spark.range(1).select(governance.partition_hash(F.lit(developer))).first()[0]
+    dev = hashlib.sha256(developer.encode()).hexdigest()[:12]
     jvm = spark.sparkContext._jvm
     pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/year=*/month=*/day=*/agent=*/dev={dev}")
     fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
