@@ -222,8 +222,9 @@ def clean(docs: DataFrame, items: DataFrame, span_limit: int = 1, coverage_limit
     def cut(batches):
         for batch in batches:
             for part in common.blocks(batch, text):
-                w = common.words(part.column(text), common.PLAIN)
+                w = common.words(part.column(text), common.PLAIN, lower=True)
                 raws, keep = [], []
+                begin = np.concatenate([[0], np.cumsum([len(t or b"") for t in part.column(text).cast(pa.large_binary()).to_pylist()])])
                 for d, (t, spans) in enumerate(zip(part.column(text).to_pylist(), part.column("spans").to_pylist())):
                     spans = spans or []
                     hit, n = sum(x["end"] - x["start"] for x in spans), int(w.at[d + 1] - w.at[d])
@@ -231,7 +232,7 @@ def clean(docs: DataFrame, items: DataFrame, span_limit: int = 1, coverage_limit
                     keep.append(hit <= coverage_limit * n)
                     if spans:
                         raw, at, out = t.encode(), 0, []
-                        base = int(w.start[w.at[d]]) - _lead(raw)
+                        base = int(begin[d])
                         for x in spans:
                             s, e = int(w.start[w.at[d] + x["start"]]) - base, int(w.end[w.at[d] + x["end"] - 1]) - base
                             out.append(raw[at:s])
@@ -245,14 +246,6 @@ def clean(docs: DataFrame, items: DataFrame, span_limit: int = 1, coverage_limit
     return matches(docs, items, text).mapInArrow(cut, schema)
 
 
-_NOT_PLAIN = bytes(i for i in range(256) if common.PLAIN[i] and not 65 <= i <= 90)
-
-
-def _lead(raw: bytes) -> int:
-    """Bytes before the first word."""
-    return len(raw) - len(raw.lstrip(_NOT_PLAIN))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")), F.lit(0), lambda a, x: a + x["end"] - x["start"]).cast("bigint")
