@@ -111,7 +111,7 @@ WORKSPACE_QUERIES: dict[str, Query] = {
     "session_tools": _ws(S.session_tools),
     "session_models": _ws(S.session_models),
     "session_detail": _ws(S.session_detail),
-    "session_entries": _ws(lambda w: S.session_entries(w, limit=20)),
+    "session_entries": _ws(S.session_entries),
     "idle_segments": _ws(S.idle_segments),
     # detectors
     "stumbles": _ws(D.stumbles),

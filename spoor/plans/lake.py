@@ -28,24 +28,25 @@ def with_event_date(traces: DataFrame, time_zone: str = "UTC", modified_at: Colu
     return traces.withColumn("event_date", F.coalesce(own, fallback))
 
 
-def write_traces(traces: DataFrame, path: str, mode: str = "append") -> None:
+def write_traces(traces: DataFrame, path: str, mode: str = "append", whole: bool = False) -> None:
     """Parquet by (event_date, agent). Rows are clustered by those, hot dates split
-    over tasks, and sorted by session so that file statistics prune by session."""
+    over tasks, and sorted by session so that file statistics prune by session. Overwriting replaces the partitions that
+    have rows, or, if ``whole``, all."""
     (
         rebalance(traces, "event_date", "agent").sortWithinPartitions("event_date", "agent", "session_id", "ts")
-        .write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        .write.mode(mode).option("partitionOverwriteMode", "static" if whole else "dynamic")
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
         .partitionBy("event_date", "agent").parquet(path)
     )
 
 
-def write_git(git: DataFrame, path: str, mode: str = "append") -> None:
+def write_git(git: DataFrame, path: str, mode: str = "append", whole: bool = False) -> None:
     """Parquet by (event_date, repo_hash); the date is the author's calendar day."""
     rows = git.withColumn("event_date", F.substring("timestamp_text", 1, 10).try_cast("date")).withColumn(
         "repo_hash", governance.partition_hash(F.coalesce("repo", F.lit(""))))
     (
         rebalance(rows, "event_date", "repo_hash").sortWithinPartitions("event_date", "repo_hash", "ts")
-        .write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        .write.mode(mode).option("partitionOverwriteMode", "static" if whole else "dynamic")
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
         .partitionBy("event_date", "repo_hash").parquet(path)
     )
@@ -64,6 +65,11 @@ def read_git(spark: SparkSession, path: str) -> DataFrame:
     return S.conform(spark.read.parquet(path), S.GIT_EVENTS)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 # ---- raw zone -----------------------------------------------------------------
 
 def with_batch_ids(batches: DataFrame) -> DataFrame:
@@ -134,9 +140,17 @@ def normalise_batches(batches: DataFrame, disclosure: str, redact: bool = True,
 
 
 def repartition_by_event(batches: DataFrame, path: str, disclosure: str, redact: bool = True) -> None:
-    """Raw zone (by ship date) to normalised zone (by entry time)."""
-    rows = normalise_batches(batches, disclosure, redact)
-    write_traces(with_event_date(rows), path, mode="overwrite")
+    """Raw zone (by ship date) to normalised zone (by entry time).
+
+    Rows come beside those of earlier runs: only what the touched dates do not hold yet is
+    appended, so a late batch adds to its days and a batch that comes again adds nothing.
+    """
+    spark = batches.sparkSession
+    rows = with_event_date(normalise_batches(batches, disclosure, redact)).dropDuplicates(["id"])
+    if exists(spark, path):
+        held = spark.read.parquet(path).select("id", "event_date")
+        rows = rows.join(held, ["id", "event_date"], "left_anti")
+    write_traces(rows, path)
 
 
 def erase_from_raw(spark: SparkSession, path: str, developer: str) -> int:
@@ -152,11 +166,16 @@ def erase_from_raw(spark: SparkSession, path: str, developer: str) -> int:
     return len(found)
 
 
-def erase_from_traces(traces: DataFrame, developer: str, path: str) -> None:
-    """A copy of the traces without one developer, hashed name included."""
-    keep = ~F.coalesce(F.col("developer").isin(developer) | (F.col("developer") == governance.anonymous(F.lit(developer))),
-                       F.lit(False))
-    write_traces(traces.where(keep), path, mode="overwrite")
+def erase_from_traces(traces: DataFrame, developer: str, path: str) -> int:
+    """Write the traces without one developer, hashed name included, to the new ``path``;
+    how many rows went. ``path`` must not hold rows: overwriting by partition would keep
+    those partitions that have nothing left."""
+    spark = traces.sparkSession
+    if exists(spark, path):
+        raise ValueError(f"{path} exists; erase into a fresh path and switch readers to it")
+    gone = F.coalesce(F.col("developer").isin(developer) | (F.col("developer") == governance.anonymous(F.lit(developer))), F.lit(False))
+    write_traces(traces.where(~gone), path)
+    return traces.where(gone).count()
 
 
 # ---- incremental --------------------------------------------------------------
@@ -197,12 +216,13 @@ def git_backfill(git: DataFrame, marks: DataFrame, since: str) -> DataFrame:
 
 def build_tables(spark: SparkSession, root: str, out: str, developer: str | None = None) -> None:
     """Normalised text files to the three query tables: traces with usage rows,
-    findings, commits of one developer linked to sessions."""
+    findings, commits of one developer linked to sessions. A full build replaces all of
+    ``out``'s tables: partitions without rows in this build go too."""
     traces = normalised.read_traces(spark, root)
     if normalised.stage_usage(spark, root, f"{out}/usage"):
         traces = traces.unionByName(normalised.read_usage(spark, f"{out}/usage"))
-    write_traces(with_event_date(traces), f"{out}/traces", mode="overwrite")
+    write_traces(with_event_date(traces), f"{out}/traces", mode="overwrite", whole=True)
     stored = read_traces(spark, f"{out}/traces")
     security.extract_findings(stored).write.mode("overwrite").parquet(f"{out}/findings")
     git = attribution.filter_author(normalised.read_git(spark, root), developer)
-    write_git(attribution.link_commits(git, stored), f"{out}/git_events", mode="overwrite")
+    write_git(attribution.link_commits(git, stored), f"{out}/git_events", mode="overwrite", whole=True)

@@ -80,7 +80,7 @@ SELECT md5(concat('c', CAST(o_orderkey AS {STR}))) AS commit_sha, us,
     ELSE concat('s', CAST(o_custkey % 150 AS {STR}), '-', CAST(((o_orderkey * 7919) % 43200) {DIV} 14400 AS {STR})) END AS known_session
 FROM (SELECT o_orderkey, o_custkey, o_orderstatus,
     1704067200000000 + (((o_orderkey * 7919) % 43200) {DIV} 1440) * 86400000000 + ((o_orderkey * 7919) % 60) * 60000000 AS us
-  FROM orders WHERE o_orderkey % 5 = 0) o
+  FROM orders) o
 JOIN (SELECT l_orderkey, COUNT(*) AS n, CAST(SUM(l_quantity) AS BIGINT) AS ins,
     CAST(SUM(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS BIGINT) AS del,
     {FILELIST} AS files
@@ -107,12 +107,8 @@ def view_sql(dialect: str) -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. The files are small and have one row group; where a scan
-    gives fewer partitions than there are cores its rows are spread over them. A
-    large table has more splits than that and is left alone."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A test table, as it is stored."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def traces(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:

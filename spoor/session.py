@@ -24,12 +24,16 @@ SETTINGS = {
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for stream state and results: under the shared folder the
-    cluster names in spark.checkpoint.dir, else (local runs) a temporary one."""
+    """A fresh folder for state and staged tables, under the shared folder that the
+    cluster names in spark.checkpoint.dir. A local session without one uses a temporary
+    folder; on a cluster that would be another disk for each executor, so there it is an
+    error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/spoor/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"spoor-{name}-")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"spoor-{name.replace('/', '-')}-")
 
 
 def configure(spark: SparkSession) -> SparkSession:

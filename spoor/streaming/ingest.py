@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -61,10 +62,28 @@ def admit(requests: DataFrame, skew_seconds: int = V.REPLAY_WINDOW_SECONDS, nonc
     off = F.abs(F.unix_seconds("received_at") - F.col("sent_at"))
     fresh = requests.where(off <= skew_seconds)
     if not requests.isStreaming:
-        return fresh.dropDuplicates(["nonce"])
+        return _admit_in_time(fresh, nonce_ttl)
     return fresh.withWatermark("received_at", nonce_ttl).dropDuplicatesWithinWatermark(["nonce"])
 
 
+def _admit_in_time(fresh: DataFrame, nonce_ttl: str) -> DataFrame:
+    """A nonce is free again once its lifetime has passed since it was last admitted.
+
+    Requests of a nonce are cut into stretches without a gap of a lifetime; the first of a
+    stretch is admitted, and of the rest those that lie a lifetime after the last admitted. Of requests at one instant one stays.
+    """
+    life = F.unix_micros(F.lit(0).cast("timestamp") + F.expr(f"INTERVAL {nonce_ttl}"))
+    one = fresh.dropDuplicates(["nonce", "received_at"]).withColumn("_us", F.unix_micros("received_at"))
+    by = W.partitionBy("nonce").orderBy("_us")
+    gap = F.col("_us") - F.lag("_us").over(by)
+    cut = one.withColumn("_new", F.coalesce(gap >= life, F.lit(True)).cast("int")).withColumn("_stretch", F.sum("_new").over(by))
+    times = cut.groupBy("nonce", "_stretch").agg(F.array_sort(F.collect_list("_us")).alias("_all"))
+    admitted = F.aggregate("_all", F.array().cast("array<bigint>"), lambda acc, t: F.when(
+        (F.size(acc) == 0) | (t - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) >= life), F.concat(acc, F.array(t))).otherwise(acc))
+    kept = times.select("nonce", F.explode(admitted).alias("_us"))
+    return one.join(kept, ["nonce", "_us"]).select(*fresh.columns)
+
+
 def land(batches: DataFrame, credentials: DataFrame | None, path: str, checkpoint: str,
          available_now: bool = False, every: str | None = None) -> StreamingQuery:
     """Land each batch once. A micro-batch that runs again finds its rows landed
@@ -75,12 +94,7 @@ def land(batches: DataFrame, credentials: DataFrame | None, path: str, checkpoin
         rows = df
         if credentials is not None:
             rows = governance.bind_tenant(rows, credentials).where("accepted").drop("accepted", "credential")
-        try:
-            landed = lake.read_batches(spark, path)
-        except Exception as e:  # nothing landed yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            landed = None
+        landed = lake.read_batches(spark, path) if lake.exists(spark, path) else None
         lake.land_batches(S.conform(lake.new_batches(rows, landed), S.BATCH), path)
 
     writer = batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
