@@ -16,7 +16,7 @@ import pyarrow as pa
 from spoor.llm import common
 
 #: Chunks and letter runs a worker remembers; beyond that it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 
