@@ -67,7 +67,7 @@ def _loops(ws: Workspace, f: Filters) -> DataFrame:
     )
     # Outcome of a call: the success bit of its latest result.
     results = (
-        ws.traces.where((F.col("entry_type") == "tool_result") & F.col("tool_call_id").isNotNull())
+        ws.since_partition(f).where((F.col("entry_type") == "tool_result") & F.col("tool_call_id").isNotNull())
         .groupBy("tool_call_id")
         .agg(F.max_by("success", F.struct("ts", "id")).alias("success"), F.max("ts").alias("result_at"))
     )

@@ -61,9 +61,25 @@ def token_timeline(ws: Workspace, f: Filters = NO_FILTER, ordered: bool = True)
     return rows.orderBy("date") if ordered else rows
 
 
+def tool_agents(traces: DataFrame) -> DataFrame:
+    """Rows per tool and agent, over all time."""
+    return traces.where(F.col("tool_name").isNotNull()).groupBy("tool_name", "agent").agg(n_rows().alias("n"))
+
+
 def tools(ws: Workspace, f: Filters = NO_FILTER, limit: int = 25) -> DataFrame:
     """Tools by use, with the agent that uses each most and all agents that do.
-    In parity mode those two ignore the filters."""
+    In parity mode those two ignore the filters. With a date filter, the tools are chosen
+    from its dates alone, and their agents are then looked up."""
+    if ws.parity and f.days:
+        best = ws.trace_rows(f, F.col("tool_name").isNotNull()).groupBy("tool_name").agg(n_rows().alias("count"))
+        best = best.orderBy(F.desc("count"), "tool_name").limit(limit)
+        use = ws.tool_agents if ws.tool_agents is not None else tool_agents(ws.traces)
+        return (
+            best.join(use, "tool_name").groupBy("tool_name", "count")
+            .agg(F.min_by("agent", F.struct((-F.col("n")).alias("n"), "agent")).alias("primary_agent"),
+                 F.array_sort(F.collect_set("agent")).alias("agents"))
+            .orderBy(F.desc("count"), "tool_name")
+        )
     keep = ws.trace_condition(f) & F.col("tool_name").isNotNull()
     rows = ws.traces.where(F.col("tool_name").isNotNull()) if ws.parity else ws.traces.where(keep)
     per_agent = rows.groupBy("tool_name", "agent").agg(F.count_if(keep).alias("kept"), n_rows().alias("n"))

@@ -88,6 +88,7 @@ WORKSPACE_QUERIES: dict[str, Query] = {
     "heatmap": _ws(O.heatmap),
     "token_timeline": _ws(O.token_timeline),
     "tools": _ws(O.tools),
+    "tools_last_7_days": _ws(lambda w: O.tools(w, Filters(days=7))),
     "tools_filtered_parity": _ws(lambda w: O.tools(w, Filters(project="p3"))),
     "tools_filtered_strict": _ws(lambda w: O.tools(w, Filters(project="p3")), parity=False),
     "motifs": _ws(O.motifs),
@@ -117,6 +118,7 @@ WORKSPACE_QUERIES: dict[str, Query] = {
     "stumbles": _ws(D.stumbles),
     "validation_coverage": _ws(D.validation_coverage),
     "validation_loops": _ws(D.validation_loops),
+    "validation_loops_last_7_days": _ws(lambda w: D.validation_loops(w, Filters(days=7))),
     "intervention_rate": _ws(D.intervention_rate),
     "search_to_edit": _ws(D.search_to_edit),
     "first_action_latency": _ws(D.first_action_latency),
@@ -132,6 +134,8 @@ WORKSPACE_QUERIES: dict[str, Query] = {
     "findings_by_pattern_one_day": _ws(lambda w: X.findings_by_pattern(w, Filters(date="2024-01-10", days=3))),
     "findings_timeline": _ws(X.findings_timeline),
     "findings_by_session": _ws(X.findings_by_session),
+    "findings_by_session_last_7_days": _ws(lambda w: X.findings_by_session(w, Filters(days=7))),
+    "findings_by_pattern_last_7_days": _ws(lambda w: X.findings_by_pattern(w, Filters(days=7))),
     "findings_pivot": _ws(lambda w: X.findings_pivot(w, ["github_token", "openai_key"])),
     # git
     "git_stats": _ws(C.git_stats),

@@ -280,6 +280,7 @@ SELECT ct.tool_name, ct.count, pa.agent AS primary_agent, al.agents FROM ct JOIN
 ORDER BY 2 DESC, 1 LIMIT 25"""
 
     o["tools"] = tools("TRUE", "TRUE")
+    o["tools_last_7_days"] = tools(SINCE, "TRUE")
     o["tools_filtered_parity"] = tools("project = 'p3'", "TRUE")
     o["tools_filtered_strict"] = tools("project = 'p3'", "project = 'p3'")
     o["motifs"] = rf"""{K} SELECT tool_name, CASE WHEN tool_name = 'Bash' AND command <> '' THEN regexp_extract(command, '^\s*(\S+)', 1)
@@ -352,6 +353,7 @@ FROM g LEFT JOIN st USING (session_id) ORDER BY occurrences DESC, session_tokens
   {ts('last_edit_at')} AS last_edit_at, {ts('last_validation_at')} AS last_validation_at, ok AS validated_after_edit FROM cov"""
     o["validation_loops"] = f"""{K}, {LOOPS} SELECT session_id, agent, project, command, attempts, failures, {ts('started_at')} AS started_at,
   {ts('ended_at')} AS ended_at FROM loops"""
+    o["validation_loops_last_7_days"] = o["validation_loops"].replace(" AND tool_call_id IS NOT NULL GROUP BY 1, 2, 3)", f" AND tool_call_id IS NOT NULL AND {SINCE} GROUP BY 1, 2, 3)")
     o["intervention_rate"] = f"""{K}, {FACTS}, {TURNS} SELECT session_id, agent, project, {ts('started')} AS started, {ts('ended')} AS ended, user_turns,
   tool_calls, commits, loc_delta, tokens, ROUND(tools_per_turn, 6) AS tools_per_turn,
   CASE WHEN commits > 0 THEN ROUND(user_turns / commits, 6) END AS turns_per_commit,
@@ -381,6 +383,10 @@ FROM findings f WHERE @COND GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25"""
     o["findings_timeline"] = f"{K}, {FIND} SELECT {DAY} AS date, pattern_type, COUNT(*) AS count FROM findings GROUP BY 1, 2"
     o["findings_by_session"] = f"""{K}, {FIND} SELECT session_id, MIN(agent) AS agent, MAX(project) AS project, COUNT(*) AS count, {lst('pattern_type')} AS patterns,
   {ts('MIN(ts)')} AS first_at, {ts('MAX(ts)')} AS last_at FROM findings WHERE {HAS} GROUP BY 1 ORDER BY 4 DESC, 1 LIMIT 50"""
+    o["findings_by_session_last_7_days"] = o["findings_by_session"].replace(
+        lst("pattern_type") + " AS patterns", f"(SELECT {lst('pattern_type')} FROM findings x WHERE x.session_id = f.session_id) AS patterns").replace(
+        f"FROM findings WHERE {HAS} GROUP BY", f"FROM findings f WHERE {HAS} AND {SINCE} GROUP BY")
+    o["findings_by_pattern_last_7_days"] = f"{K}, {FIND} " + by_pattern.replace("@COND", SINCE)
     o["findings_pivot"] = f"""{K}, {FIND} SELECT {DAY} AS date, COUNT(*) FILTER (WHERE pattern_type = 'github_token') AS github_token,
   CAST(NULL AS BIGINT) AS openai_key FROM findings GROUP BY 1"""
 
@@ -584,16 +590,12 @@ SELECT 'dev' || user_id % 7 AS developer, 'b' || user_id || '-' || day || '-' ||
     o["batch_catalogue"] = f"""{batch}, x AS ({twice}) SELECT CASE WHEN user_id % 2 = 0 THEN 'claude_code' ELSE 'codex' END AS agent, COUNT(*) AS batches,
   CAST(SUM(n) AS BIGINT) AS entries FROM x GROUP BY 1"""
     o["bind_tenant"] = f"{batch}, x AS ({twice}) SELECT day % 7 <> 0 AS accepted, COUNT(*) AS batches FROM x GROUP BY 1"
-    # Streams give what the watermark has passed: the newest row less the lateness.
-    mark = "(SELECT epoch_us(MAX(ts)) // 1000 * 1000 FROM traces WHERE {0}) - {1}"
     o["live_sessions"] = f"""{K}, a AS (SELECT session_id, epoch_us(ts) AS us, LAG(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts) AS prev FROM traces WHERE {HAS}),
 s AS (SELECT session_id, us, SUM(CASE WHEN prev IS NULL OR us - prev > 300000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY us RANGE UNBOUNDED PRECEDING) AS seg FROM a),
 g AS (SELECT session_id, seg, MIN(us) AS lo, MAX(us) AS hi, COUNT(*) AS entries FROM s GROUP BY 1, 2)
-SELECT session_id, {ts('make_timestamp(lo)')} AS started, {ts('make_timestamp(hi)')} AS ended, entries, hi // 1000 - lo // 1000 AS active_ms FROM g
-WHERE hi + 300000000 <= {mark.format(HAS, 3600000000)}"""
-    closed = "(epoch_us(CAST(ts AS DATE) + INTERVAL 1 DAY) <= " + mark.format("TRUE", 86400000000) + ")"
-    o["live_token_counters"] = f"{K} SELECT {DAY} AS date, agent, COUNT(*) AS count, {SUM_TT} AS total_tokens FROM traces WHERE {closed} GROUP BY 1, 2"
-    o["live_finding_counters"] = f"{K}, {FIND} SELECT {DAY} AS date, pattern_type, COUNT(*) AS count FROM findings WHERE {closed} GROUP BY 1, 2"
+SELECT session_id, {ts('make_timestamp(lo)')} AS started, {ts('make_timestamp(hi)')} AS ended, entries, hi // 1000 - lo // 1000 AS active_ms FROM g"""
+    o["live_token_counters"] = f"{K} SELECT {DAY} AS date, agent, COUNT(*) AS count, {SUM_TT} AS total_tokens FROM traces GROUP BY 1, 2"
+    o["live_finding_counters"] = f"{K}, {FIND} SELECT {DAY} AS date, pattern_type, COUNT(*) AS count FROM findings GROUP BY 1, 2"
     o["admit_stream"] = f"{ev} SELECT COUNT(DISTINCT event_id // 2) AS nonces FROM ev WHERE k % 4 <> 0"
     o["ingest_stream"] = o["ingest_new"].replace("FROM b WHERE day >= 10", "FROM b")
     # A nonce comes twice at most; the second is admitted once the first one's lifetime is over.

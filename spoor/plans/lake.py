@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 from spoor import schema as S
 from spoor.functions import clock
 from spoor.functions.text import sha_prefix
-from spoor.operators import attribution, governance, security
+from spoor.operators import attribution, governance, overview, security
 from spoor.operators.skew import rebalance
 from spoor.sources import claude, codex, normalised, raw
+from spoor.workspace import Workspace
 
 MAX_ROWS_PER_FILE = 5_000_000
 
@@ -57,12 +58,28 @@ def write_jsonl(traces: DataFrame, path: str) -> None:
     rebalance(traces, "event_date", "agent").write.mode("append").partitionBy("event_date", "agent").json(path)
 
 
+def _read_dated(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table by event date; the schema is given, so that one without rows reads as such."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("event_date", T.DateType())])).parquet(path)
+
+
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    return S.conform(spark.read.parquet(path), S.TRACES)
+    return _read_dated(spark, path, S.TRACES)
 
 
 def read_git(spark: SparkSession, path: str) -> DataFrame:
-    return S.conform(spark.read.parquet(path), S.GIT_EVENTS)
+    return _read_dated(spark, path, S.GIT_EVENTS)
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    return _read_dated(spark, path, S.FINDINGS)
+
+
+def workspace(spark: SparkSession, out: str, **kw) -> Workspace:
+    """The tables that ``build_tables`` wrote."""
+    small = {n: spark.read.parquet(f"{out}/{n}") for n in ("tool_agents", "pattern_agents", "session_patterns")}
+    return Workspace(traces=read_traces(spark, f"{out}/traces"), git=read_git(spark, f"{out}/git_events"),
+                     findings=read_findings(spark, f"{out}/findings"), **small, **kw)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -89,11 +106,11 @@ def with_ship_partition(batches: DataFrame) -> DataFrame:
 
 def new_batches(batches: DataFrame, landed: DataFrame | None) -> DataFrame:
     """Batches not seen before. Ids count per developer; of equal ids in one
-    delivery one stays."""
+    delivery one stays. Of ``landed`` only ids are read."""
     fresh = with_batch_ids(batches).dropDuplicates(["developer", "batchId"])
     if landed is None:
         return fresh
-    return fresh.join(landed.select("developer", "batchId").distinct(), ["developer", "batchId"], "left_anti")
+    return fresh.join(landed.select("developer", "batchId"), ["developer", "batchId"], "left_anti")
 
 
 def land_batches(batches: DataFrame, path: str) -> None:
@@ -174,10 +191,26 @@ def erase_from_traces(traces: DataFrame, developer: str, path: str) -> int:
     if exists(spark, path):
         raise ValueError(f"{path} exists; erase into a fresh path and switch readers to it")
     gone = F.coalesce(F.col("developer").isin(developer) | (F.col("developer") == governance.anonymous(F.lit(developer))), F.lit(False))
-    write_traces(traces.where(~gone), path)
+    kept = traces.where(~gone)
+    write_traces(kept if "event_date" in traces.columns else with_event_date(kept), path)
     return traces.where(gone).count()
 
 
+def erase_developer(spark: SparkSession, out: str, fresh: str, developer: str) -> dict[str, int]:
+    """All tables of ``out`` without one developer, in the new folder ``fresh``, to which
+    readers are then switched; how many rows went, per table. Commits go by developer, author
+    or e-mail; findings are made anew from the traces that are left."""
+    name = developer.lower()
+    git = read_git(spark, f"{out}/git_events").drop("event_date")
+    theirs = F.coalesce(F.lower("author") == name, F.lit(False)) | F.coalesce(F.lower("author_email") == name, F.lit(False)) | F.coalesce(
+        F.col("developer").isin(developer) | (F.col("developer") == governance.anonymous(F.lit(developer))), F.lit(False))
+    gone = {"traces": erase_from_traces(read_traces(spark, f"{out}/traces"), developer, f"{fresh}/traces"), "git_events": git.where(theirs).count()}
+    write_git(git.where(~theirs), f"{fresh}/git_events")
+    _write_findings(spark, fresh)
+    before, after = (read_findings(spark, f"{at}/findings").count() for at in (out, fresh))
+    return gone | {"findings": before - after}
+
+
 # ---- incremental --------------------------------------------------------------
 
 def only_new(rows: DataFrame, shipped: DataFrame) -> DataFrame:
@@ -218,11 +251,23 @@ def build_tables(spark: SparkSession, root: str, out: str, developer: str | None
     """Normalised text files to the three query tables: traces with usage rows,
     findings, commits of one developer linked to sessions. A full build replaces all of
     ``out``'s tables: partitions without rows in this build go too."""
-    traces = normalised.read_traces(spark, root)
+    traces = normalised.read_traces(spark, root, file_date=True)
     if normalised.stage_usage(spark, root, f"{out}/usage"):
-        traces = traces.unionByName(normalised.read_usage(spark, f"{out}/usage"))
-    write_traces(with_event_date(traces), f"{out}/traces", mode="overwrite", whole=True)
+        traces = traces.unionByName(normalised.read_usage(spark, f"{out}/usage"), allowMissingColumns=True)
+    write_traces(with_event_date(traces, modified_at=F.col("event_date")), f"{out}/traces", mode="overwrite", whole=True)
     stored = read_traces(spark, f"{out}/traces")
-    security.extract_findings(stored).write.mode("overwrite").parquet(f"{out}/findings")
+    _write_findings(spark, out)
     git = attribution.filter_author(normalised.read_git(spark, root), developer)
     write_git(attribution.link_commits(git, stored), f"{out}/git_events", mode="overwrite", whole=True)
+
+
+def _write_findings(spark: SparkSession, out: str) -> None:
+    """What is derived from the traces of ``out``: findings, and the small tables of
+    agents per tool and pattern and of patterns per session."""
+    stored = read_traces(spark, f"{out}/traces")
+    found = rebalance(security.extract_findings(stored), "event_date")
+    found.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("event_date").parquet(f"{out}/findings")
+    found = read_findings(spark, f"{out}/findings")
+    for name, rows in (("tool_agents", overview.tool_agents(stored)), ("pattern_agents", security.pattern_agents(found)),
+                       ("session_patterns", security.session_patterns(found))):
+        rows.write.mode("overwrite").parquet(f"{out}/{name}")

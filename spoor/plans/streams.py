@@ -32,16 +32,24 @@ def _run(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def _keep(counters: DataFrame, name: str, *keys: str) -> DataFrame:
+    spark = counters.sparkSession
+    base = session.work_folder(spark, name)
+    live.keep_table(counters, f"{base}/out", f"{base}/state", available_now=True).awaitTermination()
+    return live.read_table(spark, f"{base}/out", counters.schema, *keys)
+
+
 def live_sessions(spark, sf_dir):
-    return _run(live.sessions(_traces(spark, sf_dir)), "sessions")
+    closed = _run(live.sessions(_traces(spark, sf_dir)), "sessions")
+    return live.with_open_sessions(closed, S.conform(views.traces(spark, sf_dir), S.TRACES))
 
 
 def live_token_counters(spark, sf_dir):
-    return _run(live.token_counters(_traces(spark, sf_dir)), "tokens")
+    return _keep(live.token_counters(_traces(spark, sf_dir)), "tokens", "date", "agent")
 
 
 def live_finding_counters(spark, sf_dir):
-    return _run(live.finding_counters(_traces(spark, sf_dir)), "findings")
+    return _keep(live.finding_counters(_traces(spark, sf_dir)), "findings", "date", "pattern_type")
 
 
 def admit_stream(spark, sf_dir):

@@ -57,9 +57,12 @@ def malformed(lines: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("lines"), F.count_if(~J.is_object_text(F.col("line")) | J.parse(F.col("line")).isNull()).alias("skipped"))
 
 
-def read_traces(spark: SparkSession, root: str) -> DataFrame:
-    """``{date}/{agent}/*.jsonl`` under root, known agents only."""
-    return parse_traces(spark.read.text(f"{root}/*/{{{','.join(V.AGENTS)}}}/*.jsonl").withColumnRenamed("value", "line"))
+def read_traces(spark: SparkSession, root: str, file_date: bool = False) -> DataFrame:
+    """``{date}/{agent}/*.jsonl`` under root, known agents only. ``file_date`` adds
+    ``event_date``, the date each row's file was last modified, for rows without a time."""
+    lines = spark.read.text(f"{root}/*/{{{','.join(V.AGENTS)}}}/*.jsonl")
+    date = [F.to_date("_metadata.file_modification_time").alias("event_date")] if file_date else []
+    return parse_traces(lines.select(F.col("value").alias("line"), *date))
 
 
 def read_git(spark: SparkSession, root: str) -> DataFrame:

@@ -85,16 +85,28 @@ def _admit_in_time(fresh: DataFrame, nonce_ttl: str) -> DataFrame:
 
 
 def land(batches: DataFrame, credentials: DataFrame | None, path: str, checkpoint: str,
-         available_now: bool = False, every: str | None = None) -> StreamingQuery:
+         available_now: bool = False, every: str | None = None, rejects: str | None = None) -> StreamingQuery:
     """Land each batch once. A micro-batch that runs again finds its rows landed
-    and adds nothing: a batch is one row, so it is there whole or not at all."""
+    and adds nothing: a batch is one row, so it is there whole or not at all.
+
+    Ids are looked up among the partitions of the developers in the micro-batch, which are
+    no more than its envelopes. Batches that their credential does not cover go to the
+    table ``rejects``, if given, under the number of the micro-batch.
+    """
     spark = batches.sparkSession
 
-    def write(df: DataFrame, _epoch: int) -> None:
+    def write(df: DataFrame, epoch: int) -> None:
         rows = df
         if credentials is not None:
-            rows = governance.bind_tenant(rows, credentials).where("accepted").drop("accepted", "credential")
-        landed = lake.read_batches(spark, path) if lake.exists(spark, path) else None
+            bound = governance.bind_tenant(rows, credentials)
+            if rejects:
+                refused = bound.where(~F.coalesce(F.col("accepted"), F.lit(False))).drop("accepted", "credential")
+                S.conform(refused, S.BATCH).write.mode("overwrite").parquet(f"{rejects}/epoch={epoch}")
+            rows = bound.where("accepted").drop("accepted", "credential")
+        landed = None
+        if lake.exists(spark, path):
+            dev = [r.dev for r in rows.select(governance.partition_hash(F.col("developer")).alias("dev")).distinct().collect()]
+            landed = lake.read_batches(spark, path).where(F.col("dev").isin(dev))
         lake.land_batches(S.conform(lake.new_batches(rows, landed), S.BATCH), path)
 
     writer = batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from spoor.functions import clock, tokens
 from spoor.operators.security import extract_findings
@@ -30,6 +32,17 @@ def sessions(traces: DataFrame, lateness: str = "1 hour", gap: str = "5 minutes"
     )
 
 
+def with_open_sessions(closed: DataFrame, traces: DataFrame, gap: str = "5 minutes") -> DataFrame:
+    """The stretches a stream has given out, and those its watermark has not passed yet.
+
+    A session's closed stretches lie before its open ones, so these are made of the rows
+    after the last closed one; ``traces`` is the table that the stream reads.
+    """
+    last = closed.groupBy("session_id").agg(F.max("ended").alias("_last"))
+    rest = traces.join(last, "session_id", "left").where(F.col("_last").isNull() | (F.col("ts") > F.col("_last")))
+    return closed.unionByName(sessions(rest, gap=gap))
+
+
 def token_counters(traces: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Rows and tokens per day and agent."""
     return (
@@ -48,3 +61,26 @@ def finding_counters(traces: DataFrame, lateness: str = "1 day") -> DataFrame:
         .groupBy(F.window("ts", "1 day").alias("w"), "pattern_type").agg(F.count(F.lit(1)).alias("count"))
         .select(F.to_date("w.start").alias("date"), "pattern_type", "count")
     )
+
+
+def keep_table(counters: DataFrame, path: str, checkpoint: str, available_now: bool = False,
+               every: str | None = None) -> StreamingQuery:
+    """Keep counters of a stream as a table. A micro-batch writes the groups that it changed,
+    with all they have come to, under its number; one that runs again replaces what it wrote."""
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    writer = counters.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    elif every:
+        writer = writer.trigger(processingTime=every)
+    return writer.start()
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType, *keys: str) -> DataFrame:
+    """The latest state of every group that ``keep_table`` wrote, open windows included."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])).parquet(path)
+    values = F.struct(*[f.name for f in schema.fields if f.name not in keys])
+    return rows.groupBy(*keys).agg(F.max_by(values, "epoch").alias("_v")).select(*keys, "_v.*")

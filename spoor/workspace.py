@@ -43,12 +43,19 @@ class Workspace:
     ``parity``     some sub-lists (a tool's agents, a leak's agents) ignore the
                    active filters in the observed system; True keeps that.
     ``week_mode``  'parity' puts a Monday into the week before it, 'iso' does not.
+    ``tool_agents``, ``pattern_agents``, ``session_patterns``
+                   those sub-lists over all time, as the load writes them (see
+                   plans/lake.py); without them, parity reads the narrow columns of
+                   the whole table once more.
     ``today``      the date ``days`` counts back from; a parameter so that runs repeat.
     """
 
     traces: DataFrame | None = None
     git: DataFrame | None = None
     findings: DataFrame | None = None
+    tool_agents: DataFrame | None = None
+    pattern_agents: DataFrame | None = None
+    session_patterns: DataFrame | None = None
     today: dt.date = field(default_factory=lambda: dt.datetime.now(dt.timezone.utc).date())
     parity: bool = True
     week_mode: str = "parity"
@@ -88,6 +95,13 @@ class Workspace:
             cond &= F.col("agent") == f.agent
         return cond
 
+    def since_partition(self, f: Filters) -> DataFrame:
+        """All traces filed on or after the first date of ``f``: what follows its rows
+        (the result of a call, say) is among them, whatever the other filters."""
+        if not f.days or "event_date" not in self.traces.columns:
+            return self.traces
+        return self.traces.where(F.col("event_date") >= F.lit(self.today - dt.timedelta(days=f.days + 1)))
+
     def trace_rows(self, f: Filters, *extra: Column) -> DataFrame:
         df = self.traces.where(self.trace_condition(f))
         for cond in extra:
@@ -98,7 +112,10 @@ class Workspace:
         """A single date wins over ``days``; tool and model do not apply."""
         cond = F.col("ts").isNotNull()
         if f.date:
-            cond &= F.to_date("ts") == F.lit(f.date).cast("date")
+            day = dt.date.fromisoformat(f.date)
+            cond &= F.to_date("ts") == F.lit(day)
+            if "event_date" in self.findings.columns:
+                cond &= F.col("event_date").between(F.lit(day - dt.timedelta(days=1)), F.lit(day + dt.timedelta(days=1)))
         elif f.days:
             cond &= self._since(self.findings, f)
         if f.project:

@@ -1,6 +1,8 @@
 """Parsers, governance, lake and streams."""
 
+import datetime as dt
 import json
+import os
 import re
 
 import pytest
@@ -11,6 +13,7 @@ from spoor import fixed_values as V
 from spoor import schema as S
 from spoor.functions import secrets
 from spoor.operators import attribution as A
+from spoor.operators import detectors as D
 from spoor.operators import governance as G
 from spoor.operators import overview as O
 from spoor.operators import permissions as P
@@ -18,7 +21,7 @@ from spoor.operators import security as X
 from spoor.plans import lake
 from spoor.sources import claude, codex, cursor, gitlog, normalised, raw
 from spoor.streaming import ingest, live
-from spoor.workspace import Workspace
+from spoor.workspace import Filters, Workspace
 
 
 def lines(spark, objs, **kw):
@@ -171,6 +174,49 @@ def test_lake_files_build_tables(spark, tmp_path):
     assert O.stats(Workspace(traces=t)).first()["total_input_tokens"] == 10
 
 
+def _write_tree(root, bodies):
+    for agent, body in bodies.items():
+        d = root / "2026-01-01" / agent
+        d.mkdir(parents=True)
+        (d / "f.jsonl").write_text("\n".join(map(json.dumps, body)) + "\n")
+
+
+def test_erasing_a_developer_reaches_every_table(spark, tmp_path):
+    root, out, fresh = tmp_path / "norm", str(tmp_path / "out"), str(tmp_path / "fresh")
+    entry = {"agent": "codex", "entryType": "tool_call", "toolName": "Bash", "stdout": "[REDACTED:jwt_token]"}
+    _write_tree(root, {
+        "codex": [entry | {"id": "a", "timestamp": "2026-01-01T10:00:00Z", "developer": "ann", "sessionId": "s1"},
+                  entry | {"id": "b", "timestamp": "2026-01-02T10:00:00Z", "developer": "bob", "sessionId": "s2"},
+                  entry | {"id": "u", "developer": "bob", "sessionId": "s2"}],
+        "git": [{"id": i, "timestamp": "2026-01-01T12:01:00Z", "eventType": "commit", "repo": "r", "commitSha": i, "author": a}
+                for i, a in (("g", "Ann"), ("h", "bob"))]})
+    os.utime(root / "2026-01-01" / "codex" / "f.jsonl", (1767400000, 1767400000))
+    lake.build_tables(spark, str(root), out)
+    assert {r.id: str(r.event_date) for r in lake.read_traces(spark, out + "/traces").collect()} == {
+        "a": "2026-01-01", "b": "2026-01-02", "u": "2026-01-03"}  # without a time: the file's date
+    assert lake.erase_developer(spark, out, fresh, "ann") == {"traces": 1, "git_events": 1, "findings": 1}
+    ws = lake.workspace(spark, fresh)
+    assert sorted(rows(ws.traces, "id")) == [("b",), ("u",)] and rows(ws.git, "commit_sha") == [("h",)]
+    assert sorted(rows(ws.findings, "source_id")) == [("b",), ("u",)] and rows(ws.session_patterns, "session_id") == [("s2",)]
+
+
+def test_date_filters_reach_the_partitions(spark, tmp_path):
+    root, out = tmp_path / "norm", str(tmp_path / "out")
+    _write_tree(root, {"codex": [
+        {"id": f"c{d}", "timestamp": f"2026-01-{d:02d}T10:00:00Z", "agent": "codex", "entryType": t, "toolName": "Bash", "toolCallId": f"k{d}",
+         "sessionId": "s", "command": "pytest", "stdout": "[REDACTED:jwt_token]"} for d in range(1, 30) for t in ("tool_call", "tool_result")],
+        "git": [{"id": "g", "timestamp": "2026-01-01T12:01:00Z", "eventType": "commit", "repo": "r", "commitSha": "g"}]})
+    lake.build_tables(spark, str(root), out)
+    ws, f = lake.workspace(spark, out, today=dt.date(2026, 1, 30)), Filters(days=7)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    for query in (O.stats, O.tools, X.findings_by_pattern, X.findings_by_session, D.validation_loops):
+        plan = query(ws, f)._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.splitlines() if "FileScan" in x and ("out/traces" in x or "out/findings" in x)]
+        assert scans and all("event_date" in x.split("PartitionFilters: ")[1].split("PushedFilters")[0] for x in scans), (query.__name__, scans)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert rows(O.tools(ws, f), "tool_name", "count") == [("Bash", 14)]
+
+
 def test_raw_lines_keep_file_order(spark, tmp_path):
     (tmp_path / "sess-a.jsonl").write_text("\n".join(f'{{"n":{i}}}' for i in range(500)) + "\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
@@ -281,7 +327,7 @@ def test_ingest_stream_lands_each_batch_once(spark, tmp_path):
 
     def run():
         sent = ingest.parse_batches(ingest.read_lines(spark, str(inbox))).withColumn("credential", F.lit("k"))
-        ingest.land(sent, keys, zone, str(tmp_path / "cp"), available_now=True).awaitTermination(120)
+        ingest.land(sent, keys, zone, str(tmp_path / "cp"), available_now=True, rejects=str(tmp_path / "no")).awaitTermination(120)
 
     _envelopes(inbox, [batch(1), batch(1), batch(2), batch(3, dev="d2")], "a.jsonl")
     run()
@@ -289,6 +335,7 @@ def test_ingest_stream_lands_each_batch_once(spark, tmp_path):
     run()
     landed = lake.read_batches(spark, zone)
     assert sorted(rows(landed, "developer", "batchId")) == [("d1", "b1"), ("d1", "b2"), ("d1", "b4")]
+    assert rows(spark.read.parquet(str(tmp_path / "no")), "developer", "batchId") == [("d2", "b3")]
     assert {(r.year, r.month, r.day, len(r.dev)) for r in landed.collect()} == {("2026", "01", "02", 12)}
     out = str(tmp_path / "traces")
     lake.repartition_by_event(landed, out, "sensitive")
@@ -297,7 +344,8 @@ def test_ingest_stream_lands_each_batch_once(spark, tmp_path):
     assert all("[REDACTED:github_token]" in r.user_prompt for r in got.collect())
     assert lake.erase_from_raw(spark, zone, "d1") == 1
     spark.catalog.clearCache()
-    lake.erase_from_traces(got, "d1", str(tmp_path / "kept"))
+    assert lake.erase_from_traces(got, "d1", str(tmp_path / "kept")) == 3
+    assert lake.read_traces(spark, str(tmp_path / "kept")).count() == 0
     assert lake.normalise_batches(landed.limit(0), "full").count() == 0
 
 
@@ -340,6 +388,22 @@ def test_streams_equal_batch(spark, tmp_path):
         assert a == b and len(a) > 0, fn.__name__
 
 
+def test_streams_hold_back_nothing(spark, tmp_path):
+    t = traces(spark, [{"ts": f"2026-01-0{1 + i // 20}T{i % 12:02d}:{i * 7 % 60:02d}:00Z", "session_id": f"s{i % 3}", "usage": (i, 1),
+                        "user_prompt": "[REDACTED:jwt_token]"} for i in range(60)])
+    zone = str(tmp_path / "zone")
+    t.repartition(3).write.parquet(zone)
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).schema(S.TRACES).parquet(zone)
+    for fn, keys in ((live.token_counters, ("date", "agent")), (live.finding_counters, ("date", "pattern_type"))):
+        at = str(tmp_path / fn.__name__)
+        counters = fn(stream, lateness="30 days")
+        live.keep_table(counters, at, at + "_cp", available_now=True).awaitTermination(180)
+        got = live.read_table(spark, at, counters.schema, *keys)
+        assert sorted(map(str, got.collect())) == sorted(map(str, fn(t).collect())), fn.__name__
+    closed = live.sessions(t).where("ended < '2026-01-02'")
+    assert sorted(map(str, live.with_open_sessions(closed, t).collect())) == sorted(map(str, live.sessions(t).collect()))
+
+
 def test_admission_on_a_stream(spark, tmp_path):
     base = 1767261600
     reqs = [(base, base, "n1"), (base + 1, base + 1, "n1"), (base + 2, base - 400, "n2"), (base + 3, base + 250, "n3")]
