@@ -24,7 +24,7 @@ from spoor.operators import rollups as U
 from spoor.operators import security as X
 from spoor.operators import sessions as S
 from spoor.operators import skills as K
-from spoor.plans import samples, streams, views
+from spoor.plans import loads, samples, streams, views
 from spoor.workspace import Filters, Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,4 +208,4 @@ WORKSPACE_QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return {**WORKSPACE_QUERIES, **{k: _raw(v) for k, v in {**samples.QUERIES, **streams.QUERIES}.items()}}
+    return {**WORKSPACE_QUERIES, **{k: _raw(v) for k, v in {**samples.QUERIES, **streams.QUERIES, **loads.QUERIES}.items()}}

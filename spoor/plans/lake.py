@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoor import schema as S
+from spoor import session
 from spoor.functions import clock
 from spoor.functions.text import sha_prefix
 from spoor.operators import attribution, governance, overview, security
@@ -25,7 +26,7 @@ def with_event_date(traces: DataFrame, time_zone: str = "UTC", modified_at: Colu
     """Adds the date a row is filed under: its own, in UTC or in a local zone, else
     the date its source was modified."""
     own = F.to_date(F.from_utc_timestamp("ts", time_zone) if time_zone != "UTC" else F.col("ts"))
-    fallback = F.to_date(modified_at) if modified_at is not None else F.current_date()
+    fallback = F.coalesce(F.to_date(modified_at), F.current_date()) if modified_at is not None else F.current_date()
     return traces.withColumn("event_date", F.coalesce(own, fallback))
 
 
@@ -146,28 +147,50 @@ def read_batch_metadata(spark: SparkSession, glob: str) -> DataFrame:
 PARSERS = {"claude_code": claude.parse, "codex": codex.parse}
 
 
-def normalise_batches(batches: DataFrame, disclosure: str, redact: bool = True, session_key: str = "source") -> DataFrame:
-    """Shipped batches to governed trace rows: parse, then strip, then redact."""
+def unparsed(batches: DataFrame) -> DataFrame:
+    """agent, batches, entries of batches that no parser takes."""
+    rest = batches.where(~F.coalesce(F.col("agent").isin(list(PARSERS)), F.lit(False)))
+    return rest.groupBy("agent").agg(F.count(F.lit(1)).alias("batches"), F.sum(F.size("entries")).alias("entries"))
+
+
+def normalise_batches(batches: DataFrame, disclosure: str, redact: bool = True, session_key: str = "source",
+                      models: DataFrame | None = None) -> DataFrame:
+    """Shipped batches to governed trace rows: parse, then strip, then redact. ``models`` is
+    the state of earlier runs. ``modified_at`` is when a row's batch came."""
     parsed = None
     for agent, parse in PARSERS.items():
-        part = parse(raw.from_batches(batches.where(F.col("agent") == agent), session_key))
+        raw_lines = raw.from_batches(batches.where(F.col("agent") == agent), session_key)
+        part = parse(raw_lines, models) if agent == "codex" else parse(raw_lines)
         parsed = part if parsed is None else parsed.unionByName(part)
     governed = governance.disclose(parsed, disclosure)
     return governance.redact_table(governed) if redact else governed
 
 
-def repartition_by_event(batches: DataFrame, path: str, disclosure: str, redact: bool = True) -> None:
-    """Raw zone (by ship date) to normalised zone (by entry time).
+def append_new(rows: DataFrame, path: str) -> None:
+    """Append the rows (with ``event_date``) whose id the table does not hold yet under
+    their date; of equal ids one stays. Rows are staged, then ids are looked up under their
+    dates only, which are few, so a late batch adds to its days and a repeated one nothing."""
+    spark = rows.sparkSession
+    folder = session.work_folder(spark, "load")
+    rows.dropDuplicates(["id", "event_date"]).write.parquet(f"{folder}/rows")
+    fresh = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    if exists(spark, path):
+        dates = [r.event_date for r in fresh.select("event_date").distinct().collect()]
+        held = read_traces(spark, path).where(F.col("event_date").isin(dates)).select("id", "event_date")
+        fresh = fresh.join(held, ["id", "event_date"], "left_anti")
+    write_traces(fresh, path)
 
-    Rows come beside those of earlier runs: only what the touched dates do not hold yet is
-    appended, so a late batch adds to its days and a batch that comes again adds nothing.
-    """
+
+def repartition_by_event(batches: DataFrame, path: str, disclosure: str, redact: bool = True, models: str | None = None) -> None:
+    """Raw zone (by ship date) to normalised zone (by entry time), beside the rows of
+    earlier runs. ``models`` is the folder of what logs carry from run to run; it is
+    written after the rows, so a run that broke off can run again."""
     spark = batches.sparkSession
-    rows = with_event_date(normalise_batches(batches, disclosure, redact)).dropDuplicates(["id"])
-    if exists(spark, path):
-        held = spark.read.parquet(path).select("id", "event_date")
-        rows = rows.join(held, ["id", "event_date"], "left_anti")
-    write_traces(rows, path)
+    state = spark.read.parquet(models) if models and exists(spark, models) else None
+    rows = with_event_date(normalise_batches(batches, disclosure, redact, models=state), modified_at=F.col("modified_at"))
+    append_new(rows.drop("modified_at"), path)
+    if models:
+        codex.model_state(raw.from_batches(batches.where(F.col("agent") == "codex"))).write.mode("append").parquet(models)
 
 
 def erase_from_raw(spark: SparkSession, path: str, developer: str) -> int:
@@ -206,7 +229,7 @@ def erase_developer(spark: SparkSession, out: str, fresh: str, developer: str) -
         F.col("developer").isin(developer) | (F.col("developer") == governance.anonymous(F.lit(developer))), F.lit(False))
     gone = {"traces": erase_from_traces(read_traces(spark, f"{out}/traces"), developer, f"{fresh}/traces"), "git_events": git.where(theirs).count()}
     write_git(git.where(~theirs), f"{fresh}/git_events")
-    _write_findings(spark, fresh)
+    write_findings(spark, fresh)
     before, after = (read_findings(spark, f"{at}/findings").count() for at in (out, fresh))
     return gone | {"findings": before - after}
 
@@ -256,12 +279,12 @@ def build_tables(spark: SparkSession, root: str, out: str, developer: str | None
         traces = traces.unionByName(normalised.read_usage(spark, f"{out}/usage"), allowMissingColumns=True)
     write_traces(with_event_date(traces, modified_at=F.col("event_date")), f"{out}/traces", mode="overwrite", whole=True)
     stored = read_traces(spark, f"{out}/traces")
-    _write_findings(spark, out)
+    write_findings(spark, out)
     git = attribution.filter_author(normalised.read_git(spark, root), developer)
     write_git(attribution.link_commits(git, stored), f"{out}/git_events", mode="overwrite", whole=True)
 
 
-def _write_findings(spark: SparkSession, out: str) -> None:
+def write_findings(spark: SparkSession, out: str) -> None:
     """What is derived from the traces of ``out``: findings, and the small tables of
     agents per tool and pattern and of patterns per session."""
     stored = read_traces(spark, f"{out}/traces")

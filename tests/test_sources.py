@@ -431,3 +431,28 @@ def test_normalise_stream_and_change_hook(spark, tmp_path):
     ingest.on_change(spark, out, lambda df, epoch: seen.append(df.count()), str(tmp_path / "cp2"),
                      available_now=True).awaitTermination(120)
     assert sum(seen) == 1
+
+
+def test_models_carry_over_runs_and_batches_without_a_time(spark, tmp_path):
+    def context(model):
+        return json.dumps({"type": "turn_context", "payload": {"model": model}})
+
+    def prompt(text):
+        return json.dumps({"type": "response_item", "timestamp": "2026-01-01T00:00:00Z",
+                           "payload": {"type": "message", "role": "user", "content": [{"text": text}]}})
+
+    def batch(key, *entries, developer="d", agent="codex"):
+        return (key, developer, "h", agent, "p", "/logs/a.jsonl", None, None, list(entries))
+
+    def shipped(*rows):
+        return spark.createDataFrame(list(rows), S.BATCH)
+
+    out, models = str(tmp_path / "traces"), str(tmp_path / "models")
+    first = batch("b1", context("m1"), prompt("one"))
+    lake.repartition_by_event(shipped(first, batch("b2", context("m2"), prompt("two"))), out, "full", models=models)
+    # The next run continues the log; another developer's log of the same name does not.
+    later = shipped(first, batch("b3", prompt("three")), batch("b1", prompt("theirs"), developer="e"), batch("x", "{}", agent="other"))
+    lake.repartition_by_event(later, out, "full", models=models)
+    got = {r.user_prompt: r.model for r in lake.read_traces(spark, out).collect()}
+    assert got == {"one": "m1", "two": "m2", "three": "m2", "theirs": None}
+    assert [tuple(r) for r in lake.unparsed(later).collect()] == [("other", 1, 1)]
