@@ -43,8 +43,10 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.at: dict[int, int] = {}
-        self.runs: dict[str, list[int]] = {}
+        # Hashes of known chunks, ascending, and the place of each; ids of letter runs.
+        self.known = np.zeros(0, np.uint64)
+        self.place = np.zeros(0, np.int64)
+        self.runs: dict[str, bytes] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 12, np.int64)
         self.used = 0
@@ -58,9 +60,10 @@ class Encoder:
             ids = np.array(self.model.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
             cut = np.flatnonzero(self.ends[ids]) + 1
             for x, piece in zip(part, np.split(ids, cut[:-1])):
-                self.runs[x] = piece.tolist()
+                self.runs[x] = piece.astype(np.uint32).tobytes()
 
-    def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The 32-bit ids of each chunk."""
         plans: list[tuple[str, ...] | None] = []
         new: dict[str, None] = {}
         for chunk in chunks:
@@ -74,31 +77,35 @@ class Encoder:
             plans.append(plan)
         self._encode_runs(list(new))
         other = iter(self.whole.encode_batch_fast([c for c, p in zip(chunks, plans) if p is None], add_special_tokens=False))
-        return [next(other).ids if p is None else self.runs[p[0]] if len(p) == 1 else self.runs[p[0]] + self.runs[p[1]] for p in plans]
+        return [np.array(next(other).ids, np.uint32).tobytes() if p is None else self.runs[p[0]] if len(p) == 1 else self.runs[p[0]] + self.runs[p[1]] for p in plans]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin (one more at the end)."""
         w = common.words(texts)
         known, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.at) + len(known) > REMEMBERED and self.at:
+        if len(self.known) + len(known) > REMEMBERED and len(self.known):
             self._forget()
-        get = self.at.get
-        index = np.array([get(h, -1) for h in known.tolist()], np.int64)
+        spot = np.searchsorted(self.known, known)
+        index = np.full(len(known), -1, np.int64)
+        if len(self.known):
+            near = np.minimum(spot, len(self.known) - 1)
+            index = np.where(self.known[near] == known, self.place[near], -1)
         new = np.flatnonzero(index < 0)
         if len(new):
             encoded = self._encode_chunks([w.bytes_of(first[i]).decode() for i in new])
-            sizes = np.array([len(x) for x in encoded], np.int64)
-            n = len(self.at)
+            sizes = np.array([len(x) // 4 for x in encoded], np.int64)
+            n = len(self.known)
             while n + len(new) + 1 > len(self.start):
                 self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             total = int(sizes.sum())
             while self.used + total > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used:self.used + total] = np.fromiter((i for x in encoded for i in x), np.uint32, total)
+            self.ids[self.used:self.used + total] = np.frombuffer(b"".join(encoded), np.uint32)
             self.start[n + 1:n + 1 + len(new)] = self.used + np.cumsum(sizes)
             self.used += total
             index[new] = np.arange(n, n + len(new))
-            self.at.update(zip(known[new].tolist(), range(n, n + len(new))))
+            self.known = np.insert(self.known, spot[new], known[new])
+            self.place = np.insert(self.place, spot[new], index[new])
         chunk = index[inverse]
         begin, size = self.start[chunk], self.start[chunk + 1] - self.start[chunk]
         ends = np.cumsum(size)
