@@ -50,6 +50,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path + "/t")
 
 
+#: What a worker remembers from task to task.
+remembered: dict[str, object] = {}
+
+
+def let_go() -> None:
+    """Give back what earlier stages left in this worker: what it remembers, and memory
+    that Arrow holds without using it."""
+    remembered.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 4; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4

@@ -123,11 +123,8 @@ class Encoder:
         return ids, at
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a file; it keeps what it knows from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if path not in common.remembered:
+        common.remembered[path] = Encoder(path)
+    return common.remembered[path]
