@@ -12,6 +12,8 @@ All work is inside a row, linear in its words but for one sort of its matches.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +65,7 @@ NAMES = {
     "busl-1.1": ["business source", "busl 1 1"], "sspl-1.0": ["server side public", "sspl"], "elastic-2.0": ["elastic"],
     "polyform-nc": ["polyform noncommercial"], "cecill": ["cecill", "ceci(?:ll)? c"], "qpl": ["q public", "qpl"],
     "apsl-2.0": ["apple public source", "apsl"], "ipl-1.0": ["ibm public", "ipl 1 0"], "spl": ["sun public", "spl"],
-    "npl": ["netscape public", "npl"], "openrail": ["openrail m?", "creativeml open rail m?", "responsible ai"], "llama": ["llama 2 community", "llama 3 community", "llama community"],
+    "npl": ["netscape public", "npl"], "openrail": ["openrail(?: m)?", "creativeml open rail(?: m)?", "responsible ai"], "llama": ["llama 2 community", "llama 3 community", "llama community"],
 }
 
 #: Sentences of license texts: (label, regex).
@@ -106,8 +108,11 @@ TEXTS = [
     ("llama", "llama 2 is licensed under the llama 2 community license"),
 ]
 
-#: Every rule's match holds one of these, so a text without them is not looked at.
-GATE = r"(?i)licen[sc]|spdx|permission|redistribut|copyright|public|proprietary|warranty|unauthorized|advertising|contributors|what the fuck|free software|openssl project"
+#: Every rule's match holds one of these runs of normalised words, so a text without them
+#: is not looked at. In a text any gap may lie between two words.
+TERMS = ["licen[sc]", "spdx", "permission", "redistribut", "copyright", "public", "proprietary", "warranty", "unauthorized", "advertising", "contributors",
+         "what the fuck", "free software", "openssl project", "(?:released|distributed|available) under"]
+GATE = "(?i)" + "|".join(t.replace(" ", f"{GAP}+") for t in TERMS)
 
 CONTEXT = 40  # words that a rule can see, more than any rule's longest match
 
@@ -117,7 +122,10 @@ def _first_words(regex: str) -> tuple[list[str], str]:
     if regex.startswith("(?:"):
         inner = regex[3:regex.index(")")]
         return [x.split(" ")[0] for x in inner.split("|")], regex
-    return [regex.split(" ")[0]], regex
+    ending = re.match(r"(\w+)\(\?:(\w+)\)\?", regex)
+    if ending:
+        return [ending[1], ending[1] + ending[2]], regex
+    return [regex.split(" ")[0].split("(")[0].rstrip("?")], regex
 
 
 def rules() -> list[tuple[str, str, int, str]]:
@@ -135,8 +143,7 @@ def rules() -> list[tuple[str, str, int, str]]:
             out.append((word, f"{word} under (?:the )?(?:terms of )?(?:the )?(?:{any_name})(?: licen[sc]e)?(?: v| version)?", 2, label))
     for label, names in NAMES.items():
         for name in names:
-            word = name.split(" ")[0].split("(")[0].rstrip("?")
-            out.append((word, f"{name} licen[sc]e", 1, label))
+            out += [(word, f"{name} licen[sc]e", 1, label) for word in _first_words(name)[0]]
     out += [(p.split(" ")[0], p, 1, label) for p, label in BASE.items()]
     return out
 

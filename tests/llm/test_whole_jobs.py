@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
+import itertools
+import re
 from collections import Counter
 
-from spoor.llm import similar
+from spoor.llm import licenses, similar
 
 
 def fresh(name, n):
@@ -44,3 +46,42 @@ def test_contained_texts_of_other_length_are_linked(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in similar.classes(docs, long=2, rounds=2, skipped=80 * 154).collect()}
     assert [k for k in got if got[k] != least[k]] == []
+
+
+def examples(tree):
+    """Texts that a parsed regex matches: every branch, optional parts left out and put in."""
+    out = []
+    for kind, arg in tree:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out.append([chr(arg)])
+        elif kind == "NOT_LITERAL":
+            out.append(["z"])
+        elif kind == "IN":
+            out.append([chr(arg[0][1])])
+        elif kind == "BRANCH":
+            out.append([t for b in arg[1] for t in examples(b)])
+        elif kind == "SUBPATTERN":
+            out.append(examples(arg[3]))
+        else:
+            least, most, inner = arg
+            out.append([t * n for t in examples(inner) for n in {least, min(most, least + 1)}])
+    return ["".join(x) for x in itertools.product(*out)]
+
+
+def test_every_license_rule_passes_the_gate():
+    for word, regex, _, label in licenses.rules():
+        for t in examples(re._parser.parse(regex)):
+            if t.split(" ")[0] == word:
+                assert re.search(licenses.GATE, t.upper().replace(" ", "\n - ")), (label, t)
+
+
+def test_license_rules_find_their_examples(spark):
+    rows = []
+    for word, regex, _, label in licenses.rules():
+        rows += [(label, t.title().replace(" ", "\n")) for t in [t for t in examples(re._parser.parse(regex)) if t.split(" ")[0] == word][:2]]
+    rows += [("gpl-3.0", "This code is released under the GPL v3."), ("bsd", "Distributed under BSD"), ("cc-by-sa-4.0", "Available under CC BY-SA 4.0"),
+             ("openssl", "This product includes software developed by the OpenSSL\nProject"), ("wtfpl", "you just DO what the\nfuck you want to"),
+             ("cecill", "CeCILL-C license"), ("cecill", "ceci c licence"), ("openrail", "OpenRAIL License"), ("openrail", "OpenRAIL-M license")]
+    got = licenses.scan(spark.createDataFrame(rows, "label string, text string")).collect()
+    assert len(got) == len(rows) and [r.text for r in got if r.label not in [m.label for m in r.scan.matches]] == []
