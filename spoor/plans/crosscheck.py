@@ -658,7 +658,7 @@ gm AS (SELECT g.repo, CAST(substr(timestamp_text, 1, 10) AS DATE) AS d, mark FRO
     o["git_next_marks"] = f"{marks} SELECT repo, CAST(MAX(d) AS VARCHAR) AS mark FROM gm GROUP BY 1"
     o["git_backfill"] = f"{marks} SELECT repo, COUNT(*) AS n FROM gm WHERE d >= DATE '2024-01-05' AND (mark IS NULL OR d < mark) GROUP BY 1"
     # ---- load jobs: two runs leave what one run over everything would
-    o["git_scan_twice"] = o["attribute_at_scan"]
+    o["git_scan_twice"] = o["git_scan_developers"] = o["attribute_at_scan"]
     o["codex_batches"] = f"SELECT DISTINCT * FROM ({o['codex_parse']})"
     o["export_twice"] = f"SELECT DISTINCT id, CAST(1 AS BIGINT) AS copies FROM ({o['cursor_parse']})"
     o["erase_developer"] = f"""{K} SELECT 'traces' AS tab, developer AS name, COUNT(*) AS n FROM traces WHERE developer <> 'dev3' GROUP BY 2

@@ -23,6 +23,16 @@ def git_scan_twice(spark, sf_dir):
     return lake.read_git(spark, out).select("commit_sha", "agent_authored", "agent_name", "session_id")
 
 
+def git_scan_developers(spark, sf_dir):
+    """History captured for one developer, for another one, and for all."""
+    out = session.work_folder(spark, "git_scan") + "/git_events"
+    chunks = samples.git_chunks(spark, sf_dir)
+    traces = S.conform(views.traces(spark, sf_dir), S.TRACES)
+    for developer in ("dev1", "dev3", None):
+        jobs.scan_git(chunks, traces, out, "full", developer)
+    return lake.read_git(spark, out).select("commit_sha", "agent_authored", "agent_name", "session_id")
+
+
 def export_twice(spark, sf_dir):
     """Half of the composers exported first, then all of them."""
     out = session.work_folder(spark, "export") + "/traces"
@@ -84,4 +94,4 @@ def erase_developer(spark, sf_dir):
         counted(ws.findings, "findings", "pattern_type"))
 
 
-QUERIES = {f.__name__: f for f in (git_scan_twice, export_twice, codex_batches, undated_batches, erase_developer)}
+QUERIES = {f.__name__: f for f in (git_scan_twice, git_scan_developers, export_twice, codex_batches, undated_batches, erase_developer)}
