@@ -4,7 +4,10 @@ import itertools
 import re
 from collections import Counter
 
-from spoor.llm import licenses, similar
+import numpy as np
+import pytest
+
+from spoor.llm import licenses, similar, toxicity
 
 
 def fresh(name, n):
@@ -85,3 +88,31 @@ def test_license_rules_find_their_examples(spark):
              ("cecill", "CeCILL-C license"), ("cecill", "ceci c licence"), ("openrail", "OpenRAIL License"), ("openrail", "OpenRAIL-M license")]
     got = licenses.scan(spark.createDataFrame(rows, "label string, text string")).collect()
     assert len(got) == len(rows) and [r.text for r in got if r.label not in [m.label for m in r.scan.matches]] == []
+
+
+def turned(n=1600):
+    """Toxic texts hold one of 20 pairs of words, ordinary ones the same words turned
+    around; no pair is in 30 toxic texts of the training folds."""
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(n):
+        words, k = [f"w{x}" for x in rng.integers(0, 200, 12)], rng.integers(0, 20)
+        words[5:7] = [f"a{k}", f"b{k}"] if i % 4 == 0 else [f"b{k}", f"a{k}"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    return rows, labels
+
+
+def test_rare_toxic_pairs_count(spark, monkeypatch):
+    rows, labels = turned()
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, marks).collect()}
+    held = [(got[i].predicted, y) for i, y in labels if got[i].held_out]
+    assert sum(p == y for p, y in held) / len(held) > 0.97
+    kept = sorted(r.doc_id for r in toxicity.clean(docs, marks).collect())
+    assert kept == [i for i in got if not got[i].predicted]
+    # What is sent out and what is joined give the same.
+    monkeypatch.setattr(toxicity, "SENT", 20)
+    again = {r.doc_id: r.score for r in toxicity.score(docs, marks).collect()}
+    assert again == pytest.approx({i: r.score for i, r in got.items()}, abs=1e-9)
+    assert sorted(r.doc_id for r in toxicity.clean(docs, marks).collect()) == kept
