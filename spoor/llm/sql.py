@@ -7,7 +7,7 @@ same goes for sharding, for want of a CRC-32; ``shard_sql`` has its other column
 
 from __future__ import annotations
 
-from spoor.llm import common, licenses, quality_rules, sharding
+from spoor.llm import common, licenses, quality_rules, resampling, sharding
 
 SPACED = r"[^\x20\x09-\x0D]+"
 PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -116,8 +116,55 @@ def shard_sql() -> str:
             f"row_number() OVER (PARTITION BY a ORDER BY doc_id, size) - 1 AS slot, CAST(g AS INT) AS grown_shard FROM {last}")
 
 
+def crc_table() -> str:
+    """The table of CRC-32, by its rule, as a list."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (resampling.POLYNOMIAL if c & 1 else 0)
+        out.append(c)
+    return f"[{', '.join(map(str, out))}]::BIGINT[]"
+
+
+def crc_sql(hexed: str, table: str = "crc") -> str:
+    """CRC-32 of the bytes that ``hexed`` spells; ``table``, joined to its row, has ``crc_table`` as t."""
+    byte = f"list_transform(range(len({hexed}) // 2), lambda i: CAST('0x' || substr({hexed}, 2 * i + 1, 2) AS BIGINT))"
+    step = f"lambda c, b: xor(c >> 8, {table}.t[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), {step}), 4294967295)"
+
+
+def copies_sql() -> str:
+    return f"""
+WITH t AS (SELECT doc_id, encode(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}')) AS raw FROM documents),
+r AS (SELECT doc_id, raw, row_number() OVER (PARTITION BY raw ORDER BY doc_id DESC NULLS LAST) AS k FROM t),
+g AS (SELECT raw, MAX(doc_id) AS keep_id, COUNT(*) AS n FROM t GROUP BY raw)
+SELECT doc_id, keep_id, n AS group_size, k = 1 AS kept, sha256(raw) AS text_sha256 FROM r JOIN g USING (raw)
+"""
+
+
+def resampling_sql() -> str:
+    q = resampling
+    return f"""
+WITH crc AS (SELECT {crc_table()} AS t),
+d AS (SELECT row_number() OVER () AS k, doc_id, {_plain('text')} AS ws FROM documents),
+dw AS (SELECT k, unnest(ws) AS word FROM d), bw AS (SELECT unnest({_plain('text')}) AS word FROM benchmark),
+v AS (SELECT word, {crc_sql("x")} % {q.BUCKETS} AS bucket FROM (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dw UNION SELECT word FROM bw)), crc),
+s AS (SELECT bucket, COUNT(*) AS s FROM dw JOIN v USING (word) GROUP BY bucket), t AS (SELECT bucket, COUNT(*) AS t FROM bw JOIN v USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT COUNT(*) FROM dw) AS s, (SELECT COUNT(*) FROM bw) AS t),
+g AS (SELECT bucket, CAST(floor(1000e0 * ln((COALESCE(t.t, 0) + 1)::DOUBLE * (n.s + {q.BUCKETS})::DOUBLE / ((COALESCE(s.s, 0) + 1)::DOUBLE * (n.t + {q.BUCKETS})::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM v) b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), n),
+w AS (SELECT k, CAST(SUM(gain) AS BIGINT) AS weight FROM dw JOIN v USING (word) JOIN g USING (bucket) GROUP BY k),
+h AS (SELECT d.k, doc_id, CAST(len(ws) AS BIGINT) AS n_features, COALESCE(weight, 0) AS weight,
+  CAST('0x' || substr(sha256('{q.SEED}:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)::DOUBLE AS h FROM d LEFT JOIN w USING (k)),
+f AS (SELECT k, doc_id, n_features, weight, weight + CAST(floor(-1000e0 * ln(-ln((h + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM h),
+o AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS r, COUNT(*) OVER () AS n FROM f WHERE n_features >= {q.FEW_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= n * {q.PERCENT} // 100 THEN r END AS rank FROM f LEFT JOIN o USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_copies": copies_sql(), "op13_resampling": resampling_sql(),
         "op1_licenses": license_sql(), "op2_quality_rules": quality_sql(), "op3_substrings": substring_sql(),
         "op5_jaccard": jaccard_sql(), "op10_contamination": contamination_sql(),
     }
