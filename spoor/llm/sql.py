@@ -7,7 +7,7 @@ same goes for sharding, for want of a CRC-32; ``shard_sql`` has its other column
 
 from __future__ import annotations
 
-from spoor.llm import common, licenses, quality_rules, resampling, sharding
+from spoor.llm import common, licenses, quality_rules, resampling, sharding, trie
 
 SPACED = r"[^\x20\x09-\x0D]+"
 PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -162,8 +162,32 @@ SELECT doc_id, n_features, weight, score, CASE WHEN r <= n * {q.PERCENT} // 100
 """
 
 
+def trie_sql() -> str:
+    return f"""
+WITH crc AS (SELECT {crc_table()} AS t),
+t AS (SELECT conv_id, r, x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(strlen(r), ':', r, x))) - 1 AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, {crc_sql("k")} % {trie.HEAD + 1} AS h FROM (SELECT DISTINCT conv_id, hex(encode(CAST(conv_id AS VARCHAR))) AS k FROM t), crc),
+r AS (SELECT t.conv_id, 1 AS own, pos, r, x FROM t JOIN c USING (conv_id) WHERE pos >= h
+  UNION ALL SELECT c.conv_id, 0, pos, r, x FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % {trie.BLOCK} AND pos < h),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, strlen(x) AS size, md5(concat(strlen(r), ':', r, x)) AS g FROM r),
+l AS (SELECT conv_id, list(g ORDER BY depth) AS gs FROM o GROUP BY conv_id),
+p AS (SELECT conv_id, depth, size, md5(array_to_string(gs[1:depth], '')) AS key, md5(array_to_string(gs[1:depth - 1], '')) AS parent, depth = len(gs) AS final
+    FROM o JOIN l USING (conv_id)
+  UNION ALL SELECT conv_id, 0, 0, md5(''), NULL, l.gs IS NULL FROM c LEFT JOIN l USING (conv_id)),
+u AS (SELECT key, depth, parent, MIN(conv_id) AS conv_id, MAX(size) AS size, COUNT(*) AS n,
+  COALESCE(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE final), '') AS ends FROM p GROUP BY key, depth, parent),
+k AS (SELECT parent AS key, COUNT(*) AS kids FROM u WHERE parent IS NOT NULL GROUP BY parent),
+v AS (SELECT u.*, COALESCE(kids, 0) AS kids FROM u LEFT JOIN k USING (key)),
+s AS (SELECT p.key, SUM((v.n - 1) * v.size) AS saved, COUNT_IF(kids = 0) AS leaves FROM v JOIN p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.key)
+SELECT v.conv_id, v.depth, w.conv_id AS parent_conv_id, v.n AS n_convs, v.kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN s USING (key) LEFT JOIN u w ON w.key = v.parent
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_trie": trie_sql(),
         "op12_copies": copies_sql(), "op13_resampling": resampling_sql(),
         "op1_licenses": license_sql(), "op2_quality_rules": quality_sql(), "op3_substrings": substring_sql(),
         "op5_jaccard": jaccard_sql(), "op10_contamination": contamination_sql(),
