@@ -72,11 +72,12 @@ def attribute_at_scan(git: DataFrame, traces: DataFrame) -> DataFrame:
     ])
 
 
-def window_links(git: DataFrame, traces: DataFrame) -> DataFrame:
-    """Load-time pass one: agent-authored orphans and the window that takes them."""
+def window_links(git: DataFrame, traces: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """Load-time pass one: agent-authored orphans and the window that takes them. ``windows``
+    are those of all sessions, if they are at hand."""
     orphans = _keyed(git).where(
         F.col("session_id").isNull() & F.col("project").isNotNull() & F.col("agent_authored") & F.col("ts").isNotNull())
-    return match_windows(orphans, session_windows(traces), by_start=False)
+    return match_windows(orphans, session_windows(traces) if windows is None else windows, by_start=False)
 
 
 def activity_links(git: DataFrame, traces: DataFrame, within_ms: int = V.ACTIVITY_WINDOW_MS) -> DataFrame:
@@ -94,9 +95,14 @@ def activity_links(git: DataFrame, traces: DataFrame, within_ms: int = V.ACTIVIT
     )
 
 
-def link_commits(git: DataFrame, traces: DataFrame) -> DataFrame:
+#: What ``link_commits`` notes of a commit whose agent came from the window too.
+FILLED = "window+agent"
+
+
+def link_commits(git: DataFrame, traces: DataFrame, windows: DataFrame | None = None, mark: str | None = None) -> DataFrame:
     """Fill the session of agent-authored commits: window pass, then nearest
-    activity for what is left. Human commits are never promoted.
+    activity for what is left. Human commits are never promoted. ``mark`` names a column
+    that tells which pass linked a commit (NULL: none did).
 
     Neither pass reads the other's result: both run over all orphans and the window
     wins. That costs the second pass a few more points and saves running the first
@@ -107,9 +113,14 @@ def link_commits(git: DataFrame, traces: DataFrame) -> DataFrame:
         "session_id": F.coalesce("session_id", F.when(orphan, F.coalesce("win.session_id", "near_session"))),
         "agent_name": F.coalesce("agent_name", F.when(orphan, F.col("win.agent"))),
     }
+    names = list(git.columns)
+    if mark:
+        by = F.when(F.col("win").isNotNull(), F.when(F.col("agent_name").isNull() & F.col("win.agent").isNotNull(), FILLED).otherwise("window"))
+        new[mark] = F.when(orphan, F.coalesce(by, F.when(F.col("near_session").isNotNull(), "activity")))
+        names += [mark] if mark not in names else []
     return (
-        _keyed(git).join(window_links(git, traces), KEY, "left").join(activity_links(git, traces), KEY, "left")
-        .select(*[new.get(c, F.col(c)).alias(c) for c in git.columns])
+        _keyed(git).join(window_links(git, traces, windows), KEY, "left").join(activity_links(git, traces), KEY, "left")
+        .select(*[new.get(c, F.col(c)).alias(c) for c in names])
     )
 
 

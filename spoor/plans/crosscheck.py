@@ -665,6 +665,12 @@ gm AS (SELECT g.repo, CAST(substr(timestamp_text, 1, 10) AS DATE) AS d, mark FRO
 UNION ALL SELECT 'git_events', author, COUNT(*) FROM git_events WHERE author <> 'Dev 3' GROUP BY 2
 UNION ALL SELECT 'findings', 'github_token', COUNT(*) FROM traces WHERE developer <> 'dev3' AND contains(user_prompt, '[REDACTED:github_token]') HAVING COUNT(*) > 0"""
     o["undated_batches"] = """SELECT strftime(DATE '2024-02-01' + CAST(conv_id % 20 AS INTEGER), '%Y-%m-%d') AS event_date, COUNT(*) AS n FROM conversations GROUP BY 1"""
+    o["refresh_twice"] = f"""{K}, {FIND}, {WIN} SELECT 'findings' AS tab, pattern_type AS name, agent, COUNT(*) AS n FROM findings GROUP BY 2, 3
+UNION ALL SELECT 'pattern', pattern_type, agent, COUNT(*) FROM findings GROUP BY 2, 3
+UNION ALL SELECT 'tool', tool_name, agent, COUNT(*) FROM traces WHERE tool_name IS NOT NULL GROUP BY 2, 3
+UNION ALL SELECT 'session_patterns', pattern_type, agent, COUNT(DISTINCT session_id) FROM findings WHERE {HAS} GROUP BY 2, 3
+UNION ALL SELECT 'windows', project, agent, CAST(SUM(hi - lo) AS BIGINT) FROM win GROUP BY 2, 3"""
+    o["relink_late_traces"] = o["link_commits"]
     return o
 
 

@@ -12,7 +12,7 @@ from spoor import schema as S
 from spoor import session
 from spoor.functions import clock
 from spoor.functions.text import sha_prefix
-from spoor.operators import attribution, governance, overview, security
+from spoor.operators import attribution, governance
 from spoor.operators.skew import rebalance
 from spoor.sources import claude, codex, normalised, raw
 from spoor.workspace import Workspace
@@ -68,8 +68,11 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return _read_dated(spark, path, S.TRACES)
 
 
-def read_git(spark: SparkSession, path: str) -> DataFrame:
-    return _read_dated(spark, path, S.GIT_EVENTS)
+def read_git(spark: SparkSession, path: str, linked: bool = False) -> DataFrame:
+    """The commit table; ``linked`` adds how the load linked a commit, and its partition."""
+    if not linked:
+        return _read_dated(spark, path, S.GIT_EVENTS)
+    return _read_dated(spark, path, T.StructType([*S.GIT_EVENTS.fields, *[T.StructField(c, T.StringType()) for c in ("linked_by", "repo_hash")]]))
 
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
@@ -78,14 +81,48 @@ def read_findings(spark: SparkSession, path: str) -> DataFrame:
 
 def workspace(spark: SparkSession, out: str, **kw) -> Workspace:
     """The tables that ``build_tables`` wrote."""
-    small = {n: spark.read.parquet(f"{out}/{n}") for n in ("tool_agents", "pattern_agents", "session_patterns")}
+    from spoor.plans import derived
+
+    totals = derived.totals(spark, out)
+    small = {
+        "tool_agents": totals.where("kind = 'tool'").select(F.col("name").alias("tool_name"), "agent", "n"),
+        "pattern_agents": totals.where("kind = 'pattern'").select(F.col("name").alias("pattern_type"), "agent"),
+        "session_patterns": derived.read(spark, out, "session_patterns").select("session_id", "pattern_type"),
+    }
     return Workspace(traces=read_traces(spark, f"{out}/traces"), git=read_git(spark, f"{out}/git_events"),
                      findings=read_findings(spark, f"{out}/findings"), **small, **kw)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.delete(at, True)
+
+
+def glob(spark: SparkSession, pattern: str) -> list[str]:
+    fs, at = _at(spark, pattern)
+    return [status.getPath().toString() for status in fs.globStatus(at) or []]
+
+
+def partition_path(**values) -> str:
+    """The folder of a partition, as Spark spells it."""
+    escape = _escape_path_name()
+    return "/".join(f"{k}=" + ("__HIVE_DEFAULT_PARTITION__" if v in (None, "") else escape(str(v))) for k, v in values.items())
+
+
+def _escape_path_name():
+    from pyspark import SparkContext
+
+    return SparkContext._active_spark_context._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
 
 
 # ---- raw zone -----------------------------------------------------------------
@@ -281,16 +318,11 @@ def build_tables(spark: SparkSession, root: str, out: str, developer: str | None
     stored = read_traces(spark, f"{out}/traces")
     write_findings(spark, out)
     git = attribution.filter_author(normalised.read_git(spark, root), developer)
-    write_git(attribution.link_commits(git, stored), f"{out}/git_events", mode="overwrite", whole=True)
+    write_git(attribution.link_commits(git, stored, mark="linked_by"), f"{out}/git_events", mode="overwrite", whole=True)
 
 
 def write_findings(spark: SparkSession, out: str) -> None:
-    """What is derived from the traces of ``out``: findings, and the small tables of
-    agents per tool and pattern and of patterns per session."""
-    stored = read_traces(spark, f"{out}/traces")
-    found = rebalance(security.extract_findings(stored), "event_date")
-    found.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("event_date").parquet(f"{out}/findings")
-    found = read_findings(spark, f"{out}/findings")
-    for name, rows in (("tool_agents", overview.tool_agents(stored)), ("pattern_agents", security.pattern_agents(found)),
-                       ("session_patterns", security.session_patterns(found))):
-        rows.write.mode("overwrite").parquet(f"{out}/{name}")
+    """All that is derived from the traces of ``out``; see ``derived``."""
+    from spoor.plans import derived
+
+    derived.build(spark, out)

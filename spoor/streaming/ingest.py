@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from spoor import fixed_values as V
 from spoor import schema as S
 from spoor.functions import json as J
 from spoor.operators import governance
-from spoor.plans import lake
+from spoor.plans import derived, lake
 from spoor.sources import normalised
 
 
@@ -126,6 +129,19 @@ def normalise(lines: DataFrame, out: str, checkpoint: str, disclosure: str, reda
     return _start(writer, available_now, every)
 
 
+def keep_fresh(spark: SparkSession, out: str, checkpoint: str, available_now: bool = False, every: str = "3 seconds") -> StreamingQuery:
+    """Keep what is derived from the traces of ``out`` up to date as files appear: a
+    micro-batch refreshes the partitions its files lie in. Its first one meets all files
+    that are there, unless the checkpoint knows them."""
+    stream = spark.readStream.schema(T.StructType([*S.TRACES.fields, T.StructField("event_date", T.DateType())])).parquet(f"{out}/traces")
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def refresh(rows: DataFrame, epoch: int) -> None:
+        derived.refresh(spark, out, derived.touched_by(rows), f"{name}.{epoch}")
+
+    return _start(stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint), available_now, every)
+
+
 def on_change(spark: SparkSession, path: str, refresh, checkpoint: str, available_now: bool = False,
               every: str = "3 seconds") -> StreamingQuery:
     """Call ``refresh(new_rows, epoch)`` for files that appear in a lake path; the
