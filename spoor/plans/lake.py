@@ -87,7 +87,7 @@ def workspace(spark: SparkSession, out: str, **kw) -> Workspace:
     small = {
         "tool_agents": totals.where("kind = 'tool'").select(F.col("name").alias("tool_name"), "agent", "n"),
         "pattern_agents": totals.where("kind = 'pattern'").select(F.col("name").alias("pattern_type"), "agent"),
-        "session_patterns": derived.read(spark, out, "session_patterns").select("session_id", "pattern_type"),
+        "session_patterns": derived.read(spark, out, "session_patterns").select("session_id", "pattern_type").distinct(),
     }
     return Workspace(traces=read_traces(spark, f"{out}/traces"), git=read_git(spark, f"{out}/git_events"),
                      findings=read_findings(spark, f"{out}/findings"), **small, **kw)
