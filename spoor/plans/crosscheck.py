@@ -671,6 +671,13 @@ UNION ALL SELECT 'tool', tool_name, agent, COUNT(*) FROM traces WHERE tool_name
 UNION ALL SELECT 'session_patterns', pattern_type, agent, COUNT(DISTINCT session_id) FROM findings WHERE {HAS} GROUP BY 2, 3
 UNION ALL SELECT 'windows', project, agent, CAST(SUM(hi - lo) AS BIGINT) FROM win GROUP BY 2, 3"""
     o["relink_late_traces"] = o["link_commits"]
+    o["cut_batches"] = """WITH RECURSIVE l AS (SELECT COALESCE(source, '') AS source, doc_id, line, strlen(line) AS size, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS p
+  FROM (SELECT *, concat('{"id":', doc_id, ',"t":"', regexp_replace(COALESCE(text, ''), '[^A-Za-z0-9 ]', '', 'g'), '"}') AS line FROM documents)),
+w AS (SELECT source, p, 1 AS n, size AS b, p AS s FROM l WHERE p = 1
+  UNION ALL SELECT l.source, l.p, CASE WHEN cut THEN 1 ELSE n + 1 END, CASE WHEN cut THEN size ELSE b + size END, CASE WHEN cut THEN l.p ELSE s END
+  FROM (SELECT w.*, l.p AS np, n >= 50 OR b + l.size > 16384 AS cut FROM w JOIN l ON l.source = w.source AND l.p = w.p + 1) x JOIN l ON l.source = x.source AND l.p = x.np)
+SELECT source, arg_min(doc_id, p) AS first_id, COUNT(*) AS entries, CAST(SUM(size) AS BIGINT) AS bytes, md5(string_agg(line, chr(10) ORDER BY p)) AS digest,
+  substr(sha256(concat(source, ':', s - 1, ':', s - 1 + COUNT(*), ':', COUNT(*))), 1, 16) AS "batchId" FROM w JOIN l USING (source, p) GROUP BY source, s"""
     return o
 
 

@@ -11,6 +11,7 @@ from spoor import schema as S
 from spoor import session
 from spoor.operators import attribution
 from spoor.plans import derived, jobs, lake, samples, views
+from spoor.sources import raw
 from spoor.streaming import ingest
 
 
@@ -139,5 +140,19 @@ def relink_late_traces(spark, sf_dir):
     return lake.read_git(spark, f"{out}/git_events").select("commit_sha", "agent_name", "session_id")
 
 
+def cut_batches(spark, sf_dir):
+    """Documents as the lines of one log per source, cut into batches; some are larger than
+    a batch may be, and one source has most of them."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", "")
+    lines = views.table(spark, sf_dir, "documents").select(
+        "source", *[F.lit("d").alias(c) for c in ("developer", "machine", "project")], F.lit(0).alias("chunk"), F.col("doc_id").alias("seq"),
+        F.concat(F.lit('{"id":'), F.col("doc_id").cast("string"), F.lit(',"t":"'), text, F.lit('"}')).alias("line"))
+    out = raw.to_batches(lines, "claude_code", max_entries=50, max_bytes=16_384, block=64)
+    size = F.aggregate("entries", F.lit(0).cast("bigint"), lambda acc, x: acc + F.octet_length(x))
+    first = F.get_json_object(F.get("entries", F.lit(0)), "$.id").cast("bigint")
+    return out.select(F.col("sourceFile").alias("source"), first.alias("first_id"), F.size("entries").cast("bigint").alias("entries"), size.alias("bytes"),
+                      F.md5(F.array_join("entries", "\n")).alias("digest"), "batchId")
+
+
 QUERIES = {f.__name__: f for f in (git_scan_twice, git_scan_developers, export_twice, codex_batches, undated_batches, erase_developer,
-                                   refresh_twice, relink_late_traces)}
+                                   refresh_twice, relink_late_traces, cut_batches)}
