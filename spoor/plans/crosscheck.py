@@ -671,6 +671,10 @@ UNION ALL SELECT 'tool', tool_name, agent, COUNT(*) FROM traces WHERE tool_name
 UNION ALL SELECT 'session_patterns', pattern_type, agent, COUNT(DISTINCT session_id) FROM findings WHERE {HAS} GROUP BY 2, 3
 UNION ALL SELECT 'windows', project, agent, CAST(SUM(hi - lo) AS BIGINT) FROM win GROUP BY 2, 3"""
     o["relink_late_traces"] = o["link_commits"]
+    o["codex_stream"] = o["codex_batches"]
+    o["codex_projects"] = f"""SELECT DISTINCT CASE WHEN CAST(substr(session_id, 2) AS BIGINT) % 7 = 0 THEN 'unknown' ELSE 'p' || CAST(substr(session_id, 2) AS BIGINT) % 5 END AS project,
+  x.* EXCLUDE (session_id) FROM ({o['codex_parse']}) x"""
+    o["undated_twice"] = o["undated_batches"]
     o["cut_batches"] = """WITH RECURSIVE l AS (SELECT COALESCE(source, '') AS source, doc_id, line, strlen(line) AS size, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS p
   FROM (SELECT *, concat('{"id":', doc_id, ',"t":"', regexp_replace(COALESCE(text, ''), '[^A-Za-z0-9 ]', '', 'g'), '"}') AS line FROM documents)),
 w AS (SELECT source, p, 1 AS n, size AS b, p AS s FROM l WHERE p = 1

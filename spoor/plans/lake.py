@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +15,7 @@ from spoor import schema as S
 from spoor import session
 from spoor.functions import clock
 from spoor.functions.text import sha_prefix
-from spoor.operators import attribution, governance
+from spoor.operators import attribution, governance, runs
 from spoor.operators.skew import rebalance
 from spoor.sources import claude, codex, normalised, raw
 from spoor.workspace import Workspace
@@ -159,11 +162,15 @@ def land_batches(batches: DataFrame, path: str) -> None:
     )
 
 
-def read_batches(spark: SparkSession, path: str) -> DataFrame:
+def batch_schema() -> T.StructType:
     schema = T.StructType(list(S.BATCH.fields))
     for name in ("year", "month", "day", "dev"):
         schema = schema.add(name, "string")
-    return spark.read.schema(schema).parquet(path)
+    return schema
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(batch_schema()).parquet(path)
 
 
 def catalogue(batches: DataFrame) -> DataFrame:
@@ -190,6 +197,12 @@ def unparsed(batches: DataFrame) -> DataFrame:
     return rest.groupBy("agent").agg(F.count(F.lit(1)).alias("batches"), F.sum(F.size("entries")).alias("entries"))
 
 
+def govern(rows: DataFrame, disclosure: str, redact: bool = True) -> DataFrame:
+    """Parsed rows as the lake holds them: stripped, then redacted."""
+    rows = governance.disclose(rows, disclosure)
+    return governance.redact_table(rows) if redact else rows
+
+
 def normalise_batches(batches: DataFrame, disclosure: str, redact: bool = True, session_key: str = "source",
                       models: DataFrame | None = None) -> DataFrame:
     """Shipped batches to governed trace rows: parse, then strip, then redact. ``models`` is
@@ -199,35 +212,77 @@ def normalise_batches(batches: DataFrame, disclosure: str, redact: bool = True,
         raw_lines = raw.from_batches(batches.where(F.col("agent") == agent), session_key)
         part = parse(raw_lines, models) if agent == "codex" else parse(raw_lines)
         parsed = part if parsed is None else parsed.unionByName(part)
-    governed = governance.disclose(parsed, disclosure)
-    return governance.redact_table(governed) if redact else governed
+    return govern(parsed, disclosure, redact)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One row per id and date; of rows without a time one per id, that of the first date."""
+    first = W.partitionBy("id").orderBy("event_date")
+    undated = rows.where(F.col("ts").isNull()).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return rows.where(F.col("ts").isNotNull()).dropDuplicates(["id", "event_date"]).union(undated)
 
 
 def append_new(rows: DataFrame, path: str) -> None:
-    """Append the rows (with ``event_date``) whose id the table does not hold yet under
-    their date; of equal ids one stays. Rows are staged, then ids are looked up under their
-    dates only, which are few, so a late batch adds to its days and a repeated one nothing."""
+    """Append the rows (with ``event_date``) whose id the table does not hold yet; of equal
+    ids one stays. A row's date follows from its time, so ids are looked up under the dates of
+    the rows only, which are few. A row without a time is filed under the day it came, which
+    another load need not share: its id is looked up among all rows without a time, and
+    file statistics tell where there are any. Rows are staged first."""
     spark = rows.sparkSession
     folder = session.work_folder(spark, "load")
-    rows.dropDuplicates(["id", "event_date"]).write.parquet(f"{folder}/rows")
+    _once(rows).write.parquet(f"{folder}/rows")
     fresh = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
     if exists(spark, path):
-        dates = [r.event_date for r in fresh.select("event_date").distinct().collect()]
-        held = read_traces(spark, path).where(F.col("event_date").isin(dates)).select("id", "event_date")
-        fresh = fresh.join(held, ["id", "event_date"], "left_anti")
+        dates = [r.event_date for r in fresh.where(F.col("ts").isNotNull()).select("event_date").distinct().collect()]
+        held = read_traces(spark, path)
+        dated = fresh.where(F.col("ts").isNotNull()).join(held.where(F.col("event_date").isin(dates)).select("id", "event_date"), ["id", "event_date"], "left_anti")
+        undated = fresh.where(F.col("ts").isNull())
+        if undated.limit(1).count():
+            dated = dated.select(*fresh.columns).union(undated.join(held.where(F.col("ts").isNull()).select("id"), "id", "left_anti").select(*fresh.columns))
+        fresh = dated
     write_traces(fresh, path)
 
 
-def repartition_by_event(batches: DataFrame, path: str, disclosure: str, redact: bool = True, models: str | None = None) -> None:
+def replace_changed(rows: DataFrame, path: str, *columns: str) -> None:
+    """Put ``rows`` (with ``event_date``) in the place of those of equal id and date that
+    differ in ``columns``. Only partitions with such rows are written again."""
+    spark = rows.sparkSession
+    dates = [r.event_date for r in rows.select("event_date").distinct().collect()]
+    held = read_traces(spark, path).where(F.col("event_date").isin(dates))
+    old = held.select("id", "event_date", F.struct(*columns).alias("_old"))
+    changed = runs.staged(rows.dropDuplicates(["id", "event_date"]).join(old, ["id", "event_date"]).where(
+        ~F.col("_old").eqNullSafe(F.struct(*columns))).select(*held.columns), "changed")
+    parts = [(r.event_date, r.agent) for r in changed.select("event_date", "agent").distinct().collect()]
+    if parts:
+        mine = functools.reduce(operator.or_, [F.col("event_date").eqNullSafe(F.lit(d)) & F.col("agent").eqNullSafe(F.lit(a)) for d, a in parts])
+        rest = held.where(mine).join(changed.select("id", "event_date"), ["id", "event_date"], "left_anti").select(*held.columns)
+        write_traces(runs.staged(rest.union(changed), "replaced"), path, mode="overwrite")
+
+
+def repartition_by_event(batches: DataFrame, path: str, disclosure: str, redact: bool = True, models: str | None = None,
+                         zone: str | None = None) -> None:
     """Raw zone (by ship date) to normalised zone (by entry time), beside the rows of
     earlier runs. ``models`` is the folder of what logs carry from run to run; it is
-    written after the rows, so a run that broke off can run again."""
+    written after the rows, so a run that broke off can run again. A batch that sets a model
+    may come after batches behind it: with ``zone``, the folder of all landed batches, those
+    are parsed again, and their rows replaced where the model is another now."""
     spark = batches.sparkSession
     state = spark.read.parquet(models) if models and exists(spark, models) else None
     rows = with_event_date(normalise_batches(batches, disclosure, redact, models=state), modified_at=F.col("modified_at"))
     append_new(rows.drop("modified_at"), path)
-    if models:
-        codex.model_state(raw.from_batches(batches.where(F.col("agent") == "codex"))).write.mode("append").parquet(models)
+    if not models:
+        return
+    chunks = runs.staged(codex.model_state(raw.from_batches(batches.where(F.col("agent") == "codex"))), "chunks")
+    if state is not None and zone:
+        late = runs.staged(codex.overtaken(chunks, state), "overtaken")
+        devs = [r.dev for r in late.select(governance.partition_hash(F.col("_developer")).alias("dev")).distinct().collect()]
+        if devs:
+            landed = read_batches(spark, zone).where((F.col("agent") == "codex") & F.col("dev").isin(devs))
+            lines = codex.by_log(raw.from_batches(landed))
+            behind = lines.join(late, codex.LOG).where("chunk > since").select(*[c for c in lines.columns if c not in codex.LOG])
+            again = govern(codex.parse(behind, state.unionByName(chunks)), disclosure, redact)
+            replace_changed(with_event_date(again, modified_at=F.col("modified_at")).drop("modified_at"), path, "model")
+    chunks.write.mode("append").parquet(models)
 
 
 def erase_from_raw(spark: SparkSession, path: str, developer: str) -> int:

@@ -50,34 +50,85 @@ def codex_batches(spark, sf_dir):
     """Logs shipped in pieces without a time or all at one time, in two deliveries that
     overlap: models are carried over runs, and some pieces come twice."""
     base = session.work_folder(spark, "codex_batches")
+    batches = _codex_pieces(spark, sf_dir)
+    for part in (batches.where(F.col("batchId") < "000000010"), batches.where(F.col("batchId") >= "000000008")):
+        lake.repartition_by_event(part, f"{base}/traces", "full", models=f"{base}/models")
+    return _codex_rows(lake.read_traces(spark, f"{base}/traces"), "session_id")
+
+
+def _codex_pieces(spark, sf_dir):
     lines = samples.codex_lines(spark, sf_dir)
     one = lines.groupBy("session_key", "chunk", "developer", "machine", "project").agg(
         F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("of"))
-    batches = S.conform(one.select(
+    return S.conform(one.select(
         F.lpad(F.col("chunk").cast("string"), 9, "0").alias("batchId"), "developer", "machine", "project", F.lit("codex").alias("agent"),
         F.concat(F.lit("/logs/"), "session_key", F.lit(".jsonl")).alias("sourceFile"),
         F.when(F.crc32(F.col("session_key").cast("binary")) % 2 == 0, "2024-03-01T00:00:00Z").alias("shippedAt"),
         F.col("of.line").alias("entries")), S.BATCH)
-    for part in (batches.where(F.col("batchId") < "000000010"), batches.where(F.col("batchId") >= "000000008")):
-        lake.repartition_by_event(part, f"{base}/traces", "full", models=f"{base}/models")
-    return lake.read_traces(spark, f"{base}/traces").select(
-        "session_id", "ts", "entry_type", "role", "model", "usage.input", "usage.cache_read", "usage.reasoning",
+
+
+def _codex_rows(traces, *first):
+    return traces.select(
+        *first, "ts", "entry_type", "role", "model", "usage.input", "usage.cache_read", "usage.reasoning",
         "tool_name", "tool_call_id", "command", "user_prompt", "exit_code", "duration_ms", "success").distinct()
 
 
+def codex_stream(spark, sf_dir):
+    """Pieces of logs landed and normalised by streams, in three deliveries: one holds pieces
+    of the one before again, and the last brings pieces that should have come first."""
+    base = session.work_folder(spark, "codex_stream")
+    pieces = _codex_pieces(spark, sf_dir).withColumn("n", F.col("batchId").cast("int"))
+    pieces = pieces.withColumn("batchId", F.concat("batchId", F.lit("-"), F.element_at(F.split("sourceFile", "/"), -1)))
+    late = F.col("n").isin(0, 3, 4)
+    for part in (pieces.where((F.col("n") < 10) & ~late), pieces.where(F.col("n") >= 8), pieces.where(late)):
+        sent = part.drop("n")
+        sent.select(F.to_json(F.struct(*sent.columns)).alias("value")).write.mode("append").text(f"{base}/inbox")
+        lines = ingest.read_lines(spark, f"{base}/inbox")
+        ingest.land(ingest.parse_batches(lines), None, f"{base}/raw", f"{base}/landing", available_now=True).awaitTermination()
+        ingest.stream_logs(spark, f"{base}/raw", base, f"{base}/state", "full", available_now=True).awaitTermination()
+    return _codex_rows(lake.read_traces(spark, f"{base}/traces"), "session_id")
+
+
+def codex_projects(spark, sf_dir):
+    """Log files, each named by Spark, loaded twice; the project comes from their headers,
+    which one log in seven lacks."""
+    base = session.work_folder(spark, "codex_projects")
+    lines = samples.codex_lines(spark, sf_dir).select("session_key", F.col("seq").cast("bigint"), "line")
+    user = F.substring("session_key", 2, 20).cast("bigint")
+    header = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("/home/u/dev/p"), (user % 5).cast("string")).alias("cwd")).alias("payload")))
+    heads = lines.select("session_key").distinct().where(user % 7 != 0).select("session_key", F.lit(-1).cast("bigint"), header)
+    files = lines.union(heads).repartition("session_key").sortWithinPartitions("session_key", "seq")
+    files.select("session_key", F.col("line").alias("value")).write.partitionBy("session_key").text(f"{base}/logs")
+    for _ in range(2):
+        jobs.load_logs(spark, f"{base}/logs", "codex", f"{base}/traces", "full")
+    return _codex_rows(lake.read_traces(spark, f"{base}/traces"), "project")
+
+
 def undated_batches(spark, sf_dir):
     """Entries without a time are filed under the day their batch came."""
     out = session.work_folder(spark, "undated") + "/traces"
+    batches = _undated(spark, sf_dir, 0)
+    for _ in range(2):
+        lake.repartition_by_event(batches, out, "full")
+    return lake.read_traces(spark, out).groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+def undated_twice(spark, sf_dir):
+    """Entries without a time that come again on later days stay where they were filed."""
+    out = session.work_folder(spark, "undated") + "/traces"
+    for days in (0, 3, 40):
+        lake.repartition_by_event(_undated(spark, sf_dir, days), out, "full")
+    return lake.read_traces(spark, out).groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _undated(spark, sf_dir, days):
     block = F.struct(F.lit("text").alias("type"), F.col("text"))
     line = F.to_json(F.struct(F.lit("user").alias("type"), "turn", F.struct(F.array(block).alias("content")).alias("message")))
     name = F.concat(F.lit("conv"), F.col("conv_id").cast("string"))
-    batches = S.conform(views.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(line).alias("entries")).select(
+    return S.conform(views.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(line).alias("entries")).select(
         name.alias("batchId"), F.lit("d").alias("developer"), F.lit("claude_code").alias("agent"), F.concat(name, F.lit(".jsonl")).alias("sourceFile"),
-        F.date_format(F.date_add(F.lit("2024-02-01").cast("date"), (F.col("conv_id") % 20).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("receivedAt"),
+        F.date_format(F.date_add(F.lit("2024-02-01").cast("date"), (F.col("conv_id") % 20 + days).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("receivedAt"),
         "entries"), S.BATCH)
-    for _ in range(2):
-        lake.repartition_by_event(batches, out, "full")
-    return lake.read_traces(spark, out).groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
 
 
 def erase_developer(spark, sf_dir):
@@ -155,4 +206,4 @@ def cut_batches(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (git_scan_twice, git_scan_developers, export_twice, codex_batches, undated_batches, erase_developer,
-                                   refresh_twice, relink_late_traces, cut_batches)}
+                                   refresh_twice, relink_late_traces, cut_batches, codex_stream, codex_projects, undated_twice)}

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from spoor import fixed_values as V
 from spoor import schema as S
 from spoor.functions import json as J
-from spoor.operators import governance
+from spoor.operators import governance, runs
 from spoor.plans import derived, lake
 from spoor.sources import normalised
 
@@ -116,12 +116,27 @@ def land(batches: DataFrame, credentials: DataFrame | None, path: str, checkpoin
     return _start(writer, available_now, every)
 
 
+def stream_logs(spark: SparkSession, zone: str, out: str, checkpoint: str, disclosure: str, redact: bool = True,
+                available_now: bool = False, every: str | None = None) -> StreamingQuery:
+    """Landed vendor batches to the traces of ``out`` as they arrive, in any order of
+    deliveries. What a log carries from batch to batch is a table beside the traces; see
+    ``lake.repartition_by_event``, which runs for each micro-batch and may run again."""
+    stream = spark.readStream.schema(lake.batch_schema()).parquet(zone)
+
+    def write(rows: DataFrame, epoch: int) -> None:
+        batches = runs.staged(S.conform(rows, S.BATCH), "batches")
+        lake.repartition_by_event(batches, f"{out}/traces", disclosure, redact, models=f"{out}/models", zone=zone)
+
+    return _start(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now, every)
+
+
 def normalise(lines: DataFrame, out: str, checkpoint: str, disclosure: str, redact: bool = True,
               available_now: bool = False, every: str | None = None) -> StreamingQuery:
-    """Normalised JSON lines to the governed Parquet zone, append only."""
-    rows = normalised.parse_traces(lines.select("line"))
-    rows = governance.disclose(rows, disclosure)
-    rows = lake.with_event_date(governance.redact_table(rows) if redact else rows)
+    """Normalised JSON lines to the governed Parquet zone, append only. Rows without a time
+    are filed under the date of their file."""
+    dated = lines.select("line", *([F.to_date("modified_at").alias("event_date")] if "modified_at" in lines.columns else []))
+    rows = lake.govern(normalised.parse_traces(dated), disclosure, redact)
+    rows = lake.with_event_date(rows, modified_at=F.col("event_date") if "event_date" in rows.columns else None)
     writer = (
         rows.writeStream.format("parquet").outputMode("append").option("path", out)
         .option("checkpointLocation", checkpoint).partitionBy("event_date", "agent")
