@@ -133,3 +133,26 @@ def nearest_unique(points: DataFrame, marks: DataFrame, key: str, at: str,
         found.where((F.least(d1, d2) <= within_ms) & (low == high))
         .select(key, F.col("_at").alias(at), low.alias(owner))
     )
+
+
+def merged(ranges: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """The union per key of inclusive ranges of whole numbers: keys, lo, hi, without overlap;
+    ranges that touch become one."""
+    by = Window.partitionBy(*keys).orderBy(lo, hi)
+    reach = F.max(hi).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col(lo) > reach + 1, F.lit(True)).cast("int")
+    island = F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        ranges.where(F.col(lo) <= F.col(hi)).select(*keys, lo, hi).distinct().withColumn("_new", fresh).withColumn("_island", island)
+        .groupBy(*keys, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
+    )
+
+
+def gaps(ranges: DataFrame, keys: list[str], first: Column, last: Column, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """What ``merged`` ranges leave out of [first, last], per key that has a range: keys, lo, hi."""
+    by = Window.partitionBy(*keys).orderBy(lo)
+    rows = merged(ranges, keys, lo, hi).withColumn("_prev", F.lag(hi).over(by)).withColumn("_next", F.lead(lo).over(by))
+    before = F.struct(F.greatest(F.coalesce(F.col("_prev") + 1, first), first).alias(lo), F.least(F.col(lo) - 1, last).alias(hi))
+    after = F.struct(F.greatest(F.col(hi) + 1, first).alias(lo), last.alias(hi))
+    found = F.array_compact(F.array(before, F.when(F.col("_next").isNull(), after)))
+    return rows.select(*keys, F.inline(found)).where(F.col(lo) <= F.col(hi))

@@ -658,7 +658,13 @@ gm AS (SELECT g.repo, CAST(substr(timestamp_text, 1, 10) AS DATE) AS d, mark FRO
     o["git_next_marks"] = f"{marks} SELECT repo, CAST(MAX(d) AS VARCHAR) AS mark FROM gm GROUP BY 1"
     o["git_backfill"] = f"{marks} SELECT repo, COUNT(*) AS n FROM gm WHERE d >= DATE '2024-01-05' AND (mark IS NULL OR d < mark) GROUP BY 1"
     # ---- load jobs: two runs leave what one run over everything would
-    o["git_scan_twice"] = o["git_scan_developers"] = o["attribute_at_scan"]
+    o["git_scan_twice"] = o["git_scan_developers"] = o["git_late_branch"] = o["attribute_at_scan"]
+    o["git_gaps"] = f"""{RAW}, d AS (SELECT DISTINCT repo, CAST(substr(timestamp_text, 1, 10) AS DATE) AS d FROM commits
+  WHERE substr(timestamp_text, 1, 10) < '2024-01-18' AND day(CAST(substr(timestamp_text, 1, 10) AS DATE)) % 4 = 1),
+g AS (SELECT repo, CAST(x AS DATE) AS x FROM (SELECT DISTINCT repo FROM d), (SELECT unnest(generate_series(DATE '2024-01-03', DATE '2024-01-31', INTERVAL 1 DAY)) AS x)),
+u AS (SELECT g.* FROM g LEFT JOIN d ON d.repo = g.repo AND d.d = g.x WHERE d.d IS NULL),
+i AS (SELECT repo, x, date_diff('day', DATE '2024-01-01', x) - ROW_NUMBER() OVER (PARTITION BY repo ORDER BY x) AS k FROM u)
+SELECT repo, CAST(MIN(x) AS VARCHAR) AS lo, CAST(MAX(x) AS VARCHAR) AS hi FROM i GROUP BY repo, k"""
     o["codex_batches"] = f"SELECT DISTINCT * FROM ({o['codex_parse']})"
     o["export_twice"] = f"SELECT DISTINCT id, CAST(1 AS BIGINT) AS copies FROM ({o['cursor_parse']})"
     o["erase_developer"] = f"""{K} SELECT 'traces' AS tab, developer AS name, COUNT(*) AS n FROM traces WHERE developer <> 'dev3' GROUP BY 2

@@ -110,31 +110,22 @@ def _totals_of(tables: dict[str, DataFrame]) -> DataFrame:
     return both.groupBy("kind", "name", "agent").agg(F.sum("n").alias("n"))
 
 
-def _versions(spark: SparkSession, out: str) -> list[str]:
-    """Folders of whole versions of the totals, oldest first."""
-    found = lake.glob(spark, f"{out}/totals/v*/_SUCCESS")
-    return sorted(p.rsplit("/", 1)[0] for p in found)
-
-
 def totals(spark: SparkSession, out: str) -> DataFrame:
     """kind ('tool' or 'pattern'), name, agent, n over all time."""
-    return spark.read.schema(TOTALS).parquet(_versions(spark, out)[-1])
+    return spark.read.schema(TOTALS).parquet(lake.versions(spark, f"{out}/totals")[-1])
 
 
 def _merge_totals(spark: SparkSession, out: str, old: dict[str, DataFrame], new: dict[str, DataFrame], tag: str) -> None:
     """Add what the touched partitions gained and lost to the latest version, as a new one,
     unless the latest is this refresh's own."""
-    done = _versions(spark, out)
+    done = lake.versions(spark, f"{out}/totals")
     if done and done[-1].endswith(f"-{tag}"):
         return
     change = _totals_of(new).union(_totals_of(old).withColumn("n", -F.col("n")))
     if done:
         change = totals(spark, out).union(change)
     rows = change.groupBy("kind", "name", "agent").agg(F.sum("n").alias("n")).where("n <> 0")
-    number = int(done[-1].rsplit("/v", 1)[1].split("-")[0]) + 1 if done else 0
-    rows.coalesce(1).write.mode("overwrite").parquet(f"{out}/totals/v{number:010d}-{tag}")
-    for path in done[:-1]:  # a reader may still hold the one before
-        lake.delete(spark, path)
+    lake.write_version(rows, f"{out}/totals", tag)
 
 
 # ---- build and refresh ---------------------------------------------------------------
@@ -144,7 +135,7 @@ def build(spark: SparkSession, out: str) -> None:
     made = _made(lake.read_traces(spark, f"{out}/traces"), session.work_folder(spark, "derived"))
     for name, rows in made.items():
         _write(rows, f"{out}/{name}", whole=True)
-    for path in _versions(spark, out):
+    for path in lake.versions(spark, f"{out}/totals"):
         lake.delete(spark, path)
     _merge_totals(spark, out, {n: rows.limit(0) for n, rows in made.items()}, made, uuid.uuid4().hex)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import operator
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -116,6 +117,22 @@ def glob(spark: SparkSession, pattern: str) -> list[str]:
     return [status.getPath().toString() for status in fs.globStatus(at) or []]
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of whole versions of a small table, oldest first."""
+    return sorted(p.rsplit("/", 1)[0] for p in glob(spark, f"{path}/v*/_SUCCESS"))
+
+
+def write_version(rows: DataFrame, path: str, tag: str = "") -> None:
+    """A small table anew, as the version after the latest. Readers of that one can go on;
+    older versions go."""
+    spark = rows.sparkSession
+    done = versions(spark, path)
+    number = int(done[-1].rsplit("/v", 1)[1].split("-")[0]) + 1 if done else 0
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/v{number:010d}-{tag or uuid.uuid4().hex}")
+    for old in done[:-1]:
+        delete(spark, old)
+
+
 def partition_path(**values) -> str:
     """The folder of a partition, as Spark spells it."""
     escape = _escape_path_name()

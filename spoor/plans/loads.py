@@ -36,6 +36,36 @@ def git_scan_developers(spark, sf_dir):
     return lake.read_git(spark, out).select("commit_sha", "agent_authored", "agent_name", "session_id")
 
 
+def _captures(spark, sf_dir):
+    """Chunks of history, the day of each, and whether its branch was fetched late."""
+    fields = F.split("chunk", re.escape(V.COMMIT_FIELD))
+    rows = samples.git_chunks(spark, sf_dir).withColumn("_day", F.substring(F.get(fields, F.lit(4)), 1, 10))
+    late = F.crc32(F.get(fields, F.lit(0)).cast("binary")) % 5 == 0
+    some = rows.where((F.col("_day") < "2024-01-18") & (F.dayofmonth(F.to_date("_day")) % 4 == 1))
+    return [some.drop("_day"), rows.where((F.col("_day") < "2024-01-24") & ~late).drop("_day"), rows.drop("_day")]
+
+
+def git_late_branch(spark, sf_dir):
+    """Captures of some days, of most branches up to a day, and of all: commits of days long
+    covered arrive last."""
+    out = session.work_folder(spark, "git_scan") + "/git_events"
+    traces = S.conform(views.traces(spark, sf_dir), S.TRACES)
+    for part in _captures(spark, sf_dir):
+        jobs.scan_git(part, traces, out, "full")
+    return lake.read_git(spark, out).select("commit_sha", "agent_authored", "agent_name", "session_id")
+
+
+def git_gaps(spark, sf_dir):
+    """Days of each repository that two captures of some days left out."""
+    out = session.work_folder(spark, "git_scan") + "/git_events"
+    traces = S.conform(views.traces(spark, sf_dir).limit(0), S.TRACES)
+    some = _captures(spark, sf_dir)[0]
+    repo = F.substring("repo", 7, 9).cast("int")
+    for part in (some.where(repo % 3 > 0), some.where(repo % 3 < 2)):
+        jobs.scan_git(part, traces, out, "basic")
+    return jobs.git_gaps(spark, out, "2024-01-03", "2024-01-31")
+
+
 def export_twice(spark, sf_dir):
     """Half of the composers exported first, then all of them."""
     out = session.work_folder(spark, "export") + "/traces"
@@ -206,4 +236,4 @@ def cut_batches(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (git_scan_twice, git_scan_developers, export_twice, codex_batches, undated_batches, erase_developer,
-                                   refresh_twice, relink_late_traces, cut_batches, codex_stream, codex_projects, undated_twice)}
+                                   refresh_twice, relink_late_traces, cut_batches, codex_stream, codex_projects, undated_twice, git_late_branch, git_gaps)}

@@ -7,7 +7,7 @@ from helpers import traces
 from pyspark.sql import functions as F
 
 from spoor import fixed_values as V
-from spoor.operators import runs
+from spoor.operators import intervals, runs
 from spoor.plans import jobs, lake
 from spoor.sources import raw
 
@@ -70,3 +70,47 @@ def test_batches_of_logs_that_grew(spark):
     full = {k for k, v in early.items() if len(v) == 10}
     assert full and all(late[k] == early[k] for k in full)
     assert sorted(x for b in late.values() for x in b) == sorted([f'{{"n":{i}}}' for i in range(60) if i % 7] + ['{"big":"' + "x" * 500 + '"}', "{}"])
+
+
+def test_commits_of_days_long_past_are_filed(spark, tmp_path):
+    out, none = str(tmp_path / "git_events"), traces(spark, [])
+    early = [("a1", "ann", "2026-01-05"), ("a2", "ann", "2026-01-09")]
+    late = [("a9", "ann", "2026-01-07"), ("b9", "bob", "2026-01-05")]  # of an uncovered and of a covered day
+    for commits, want in ((early, ["a1", "a2"]), (early + late, ["a1", "a2", "a9", "b9"]), (early + late, ["a1", "a2", "a9", "b9"])):
+        jobs.scan_git(chunks(spark, commits), none, out, "basic")
+        assert sorted(r.commit_sha for r in lake.read_git(spark, out).collect()) == want
+    assert [(r.lo.isoformat(), r.hi.isoformat()) for r in jobs.git_gaps(spark, out, "2026-01-04", "2026-01-10").orderBy("lo").collect()] == [
+        ("2026-01-04", "2026-01-04"), ("2026-01-06", "2026-01-06"), ("2026-01-08", "2026-01-08"), ("2026-01-10", "2026-01-10")]
+
+
+def test_a_scan_that_broke_off_runs_again(spark, tmp_path, monkeypatch):
+    out, none = str(tmp_path / "git_events"), traces(spark, [])
+    jobs.scan_git(chunks(spark, [("a1", "ann", "2026-01-05")]), none, out, "full")
+    both = chunks(spark, [("a1", "ann", "2026-01-05"), ("a2", "ann", "2026-01-06")])
+    whole = lake.write_git
+
+    def broken(git, path):
+        whole(git, path)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(lake, "write_git", broken)
+    with pytest.raises(RuntimeError):
+        jobs.scan_git(both, none, out, "full")
+    monkeypatch.setattr(lake, "write_git", whole)
+    jobs.scan_git(both, none, out, "full")
+    assert sorted(r.commit_sha for r in lake.read_git(spark, out).collect()) == ["a1", "a2"]
+
+
+def test_ranges_merge_and_leave_gaps(spark):
+    rng = random.Random(2)
+    rows = [(k, lo, lo + rng.randrange(4)) for k in "ab" for lo in (rng.randrange(60) for _ in range(14))]
+    df = spark.createDataFrame(rows, "k string, lo long, hi long")
+    held = {k: {d for x, lo, hi in rows if x == k for d in range(lo, hi + 1)} for k in "ab"}
+
+    def days(out):
+        got = [(r.k, d) for r in out.collect() for d in range(r.lo, r.hi + 1)]
+        assert len(got) == len(set(got))
+        return {k: {d for x, d in got if x == k} for k in "ab"}
+
+    assert days(intervals.merged(df, ["k"])) == held
+    assert days(intervals.gaps(df, ["k"], F.lit(5), F.lit(50))) == {k: set(range(5, 51)) - held[k] for k in "ab"}

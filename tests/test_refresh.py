@@ -95,6 +95,6 @@ def test_totals_keep_a_version_for_readers(spark, tmp_path):
         part = lake.with_event_date(traces(spark, [late]))
         lake.write_traces(part, f"{out}/traces")
         derived.refresh(spark, out, derived.touched_by(part), f"t{i}")
-    assert len(derived._versions(spark, out)) == 2
+    assert len(lake.versions(spark, f"{out}/totals")) == 2
     tools = derived.totals(spark, out).where("kind = 'tool'")
     assert sorted(rows(tools, "name", "agent", "n")) == [("Bash", "claude_code", 1), ("Bash", "codex", 5), ("Bash", "cursor", 1)]
