@@ -595,6 +595,7 @@ s AS (SELECT session_id, us, SUM(CASE WHEN prev IS NULL OR us - prev > 300000000
 g AS (SELECT session_id, seg, MIN(us) AS lo, MAX(us) AS hi, COUNT(*) AS entries FROM s GROUP BY 1, 2)
 SELECT session_id, {ts('make_timestamp(lo)')} AS started, {ts('make_timestamp(hi)')} AS ended, entries, hi // 1000 - lo // 1000 AS active_ms FROM g"""
     o["live_token_counters"] = f"{K} SELECT {DAY} AS date, agent, COUNT(*) AS count, {SUM_TT} AS total_tokens FROM traces GROUP BY 1, 2"
+    o["live_sessions_out_of_order"], o["live_counters_many_epochs"] = o["live_sessions"], o["live_token_counters"]
     o["live_finding_counters"] = f"{K}, {FIND} SELECT {DAY} AS date, pattern_type, COUNT(*) AS count FROM findings GROUP BY 1, 2"
     o["admit_stream"] = f"{ev} SELECT COUNT(DISTINCT event_id // 2) AS nonces FROM ev WHERE k % 4 <> 0"
     o["ingest_stream"] = o["ingest_new"].replace("FROM b WHERE day >= 10", "FROM b")

@@ -32,24 +32,49 @@ def _run(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def _keep(counters: DataFrame, name: str, *keys: str) -> DataFrame:
+def _keep(counters: DataFrame, name: str) -> DataFrame:
     spark = counters.sparkSession
     base = session.work_folder(spark, name)
     live.keep_table(counters, f"{base}/out", f"{base}/state", available_now=True).awaitTermination()
-    return live.read_table(spark, f"{base}/out", counters.schema, *keys)
+    return live.read_table(spark, f"{base}/out", counters.schema)
 
 
 def live_sessions(spark, sf_dir):
-    closed = _run(live.sessions(_traces(spark, sf_dir)), "sessions")
-    return live.with_open_sessions(closed, S.conform(views.traces(spark, sf_dir), S.TRACES))
+    base = session.work_folder(spark, "sessions")
+    live.keep_sessions(_traces(spark, sf_dir), f"{base}/out", f"{base}/state", available_now=True).awaitTermination()
+    return live.read_sessions(spark, f"{base}/out")
+
+
+def _delivered(spark, sf_dir, base, parts):
+    """The traces as a stream of ``parts`` micro-batches, in no order of time."""
+    rows = S.conform(views.traces(spark, sf_dir), S.TRACES)
+    for i in range(parts):
+        rows.where(F.crc32(F.col("id").cast("binary")) % parts == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
+def live_sessions_out_of_order(spark, sf_dir):
+    """Stretches of activity after micro-batches that each hold some rows of every time."""
+    base = session.work_folder(spark, "sessions")
+    stream = _delivered(spark, sf_dir, base, 5)
+    live.keep_sessions(stream, f"{base}/out", f"{base}/state", available_now=True).awaitTermination()
+    return live.read_sessions(spark, f"{base}/out")
+
+
+def live_counters_many_epochs(spark, sf_dir):
+    """Counters after twenty micro-batches; the lateness covers the whole range."""
+    base = session.work_folder(spark, "counters")
+    counters = live.token_counters(_delivered(spark, sf_dir, base, 20), "60 days")
+    live.keep_table(counters, f"{base}/out", f"{base}/state", available_now=True).awaitTermination()
+    return live.read_table(spark, f"{base}/out", counters.schema)
 
 
 def live_token_counters(spark, sf_dir):
-    return _keep(live.token_counters(_traces(spark, sf_dir)), "tokens", "date", "agent")
+    return _keep(live.token_counters(_traces(spark, sf_dir)), "tokens")
 
 
 def live_finding_counters(spark, sf_dir):
-    return _keep(live.finding_counters(_traces(spark, sf_dir)), "findings", "date", "pattern_type")
+    return _keep(live.finding_counters(_traces(spark, sf_dir)), "findings")
 
 
 def admit_stream(spark, sf_dir):
@@ -69,4 +94,4 @@ def ingest_stream(spark, sf_dir):
                          F.size("entries").cast("bigint").alias("entries"))
 
 
-QUERIES = {f.__name__: f for f in (live_sessions, live_token_counters, live_finding_counters, admit_stream, ingest_stream)}
+QUERIES = {f.__name__: f for f in (live_sessions, live_sessions_out_of_order, live_counters_many_epochs, live_token_counters, live_finding_counters, admit_stream, ingest_stream)}
