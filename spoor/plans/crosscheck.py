@@ -678,6 +678,10 @@ UNION ALL SELECT 'tool', tool_name, agent, COUNT(*) FROM traces WHERE tool_name
 UNION ALL SELECT 'session_patterns', pattern_type, agent, COUNT(DISTINCT session_id) FROM findings WHERE {HAS} GROUP BY 2, 3
 UNION ALL SELECT 'windows', project, agent, CAST(SUM(hi - lo) AS BIGINT) FROM win GROUP BY 2, 3"""
     o["relink_late_traces"] = o["link_commits"]
+    sent = f"{batch}, x AS ({twice}) SELECT '@' AS tab, 'dev' || user_id % 7 AS name, COUNT(*) AS n FROM x WHERE user_id % 7 <> 3"
+    o["erase_everywhere"] = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in (
+        o["erase_developer"], sent.replace("@", "raw") + " GROUP BY 2", sent.replace("@", "rejects") + " AND day < 5 GROUP BY 2",
+        "SELECT 'models', 'dev' || user_id % 7, COUNT(DISTINCT (user_id, event_id // 500)) FROM events WHERE user_id % 7 <> 3 GROUP BY 2"))
     o["codex_stream"] = o["codex_batches"]
     o["codex_projects"] = f"""SELECT DISTINCT CASE WHEN CAST(substr(session_id, 2) AS BIGINT) % 7 = 0 THEN 'unknown' ELSE 'p' || CAST(substr(session_id, 2) AS BIGINT) % 5 END AS project,
   x.* EXCLUDE (session_id) FROM ({o['codex_parse']}) x"""

@@ -80,12 +80,8 @@ def _made(traces: DataFrame, folder: str) -> dict[str, DataFrame]:
 
 
 def in_parts(touched: Touched) -> Column:
-    """Rows of the partitions ``touched``; Spark prunes the scan by it."""
-    agents: dict[dt.date | None, list[str | None]] = {}
-    for date, agent in touched:
-        agents.setdefault(date, []).append(agent)
-    cond = [F.col("event_date").eqNullSafe(F.lit(date)) & functools.reduce(operator.or_, [F.col("agent").eqNullSafe(F.lit(a)) for a in of]) for date, of in agents.items()]
-    return functools.reduce(operator.or_, cond, F.lit(False))
+    """Rows of the partitions ``touched``."""
+    return lake.in_units(PART, touched)
 
 
 def _write(rows: DataFrame, path: str, whole: bool) -> None:
@@ -236,8 +232,7 @@ def relink(spark: SparkSession, out: str, old_days: DataFrame, new_days: DataFra
     parts = [(r.event_date, r.repo_hash) for r in change.select("event_date", "repo_hash").distinct().collect()]
     if not parts:
         return
-    mine = functools.reduce(operator.or_, [F.col("event_date").eqNullSafe(F.lit(d)) & F.col("repo_hash").eqNullSafe(F.lit(h)) for d, h in parts])
-    rows = git.where(mine).join(change.drop("event_date", "repo_hash"), (F.coalesce("repo", F.lit("")) == F.col("_repo")) & (F.col("commit_sha") == F.col("_sha")), "left")
+    rows = git.where(lake.in_units(["event_date", "repo_hash"], parts)).join(change.drop("event_date", "repo_hash"), (F.coalesce("repo", F.lit("")) == F.col("_repo")) & (F.col("commit_sha") == F.col("_sha")), "left")
     fresh = rows.select(*[(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in ("session_id", "agent_name", "linked_by") else F.col(c))
                           for c in git.columns if c not in ("event_date", "repo_hash")])
     lake.write_git(_staged(fresh, "commits"), f"{out}/git_events", mode="overwrite")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
-import operator
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -145,6 +144,30 @@ def _escape_path_name():
     return SparkContext._active_spark_context._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
 
 
+def any_of(conditions: list[Column]) -> Column:
+    """Whether any holds. Halved again and again, so that many do not nest deeply."""
+    if not conditions:
+        return F.lit(False)
+    if len(conditions) == 1:
+        return conditions[0]
+    half = len(conditions) // 2
+    return any_of(conditions[:half]) | any_of(conditions[half:])
+
+
+def in_units(units: list[str], values: list[tuple]) -> Column:
+    """Rows of the partitions with ``values`` of their two columns ``units``; Spark prunes the
+    scan by it."""
+    seconds: dict = {}
+    for first, second in values:
+        seconds.setdefault(first, []).append(second)
+
+    def some(of: list) -> Column:
+        held = [v for v in of if v is not None]
+        return any_of(([F.col(units[1]).isin(held)] if held else []) + ([F.col(units[1]).isNull()] if len(held) < len(of) else []))
+
+    return any_of([F.col(units[0]).eqNullSafe(F.lit(first)) & some(of) for first, of in seconds.items()])
+
+
 # ---- raw zone -----------------------------------------------------------------
 
 def with_batch_ids(batches: DataFrame) -> DataFrame:
@@ -171,6 +194,31 @@ def new_batches(batches: DataFrame, landed: DataFrame | None) -> DataFrame:
     return fresh.join(landed.select("developer", "batchId"), ["developer", "batchId"], "left_anti")
 
 
+IDS = "developer string, batchId string"
+
+
+def landed_ids(batches: DataFrame, path: str) -> DataFrame | None:
+    """The ids landed for the developers of ``batches`` (with their ship partitions): those of
+    the id table, by developer, and those in the very partitions the batches go to, which a
+    landing that broke off may have filled before its ids were noted. Only these folders
+    are listed."""
+    spark = batches.sparkSession
+    parts = batches.select("year", "month", "day", "agent", "dev").distinct().collect()
+    folders = [f for f in sorted({f"{path}_ids/{partition_path(dev=r.dev)}" for r in parts}) if exists(spark, f)]
+    own = [f for f in sorted({f"{path}/{partition_path(**r.asDict())}" for r in parts}) if exists(spark, f)]
+    out = None
+    for some in (folders, own):
+        if some:
+            ids = spark.read.schema(IDS).parquet(*some)
+            out = ids if out is None else out.union(ids)
+    return out
+
+
+def note_ids(batches: DataFrame, path: str) -> None:
+    """Add the ids of landed batches to the id table, by developer."""
+    batches.select("developer", "batchId", "dev").repartition("dev").write.mode("append").partitionBy("dev").parquet(f"{path}_ids")
+
+
 def land_batches(batches: DataFrame, path: str) -> None:
     """Append whole batches, one row each, by ship date, agent and developer hash."""
     (
@@ -271,8 +319,7 @@ def replace_changed(rows: DataFrame, path: str, *columns: str) -> None:
         ~F.col("_old").eqNullSafe(F.struct(*columns))).select(*held.columns), "changed")
     parts = [(r.event_date, r.agent) for r in changed.select("event_date", "agent").distinct().collect()]
     if parts:
-        mine = functools.reduce(operator.or_, [F.col("event_date").eqNullSafe(F.lit(d)) & F.col("agent").eqNullSafe(F.lit(a)) for d, a in parts])
-        rest = held.where(mine).join(changed.select("id", "event_date"), ["id", "event_date"], "left_anti").select(*held.columns)
+        rest = held.where(in_units(["event_date", "agent"], parts)).join(changed.select("id", "event_date"), ["id", "event_date"], "left_anti").select(*held.columns)
         write_traces(runs.staged(rest.union(changed), "replaced"), path, mode="overwrite")
 
 
@@ -302,10 +349,15 @@ def repartition_by_event(batches: DataFrame, path: str, disclosure: str, redact:
     chunks.write.mode("append").parquet(models)
 
 
+def _dev(developer: str) -> str:
+    """``governance.partition_hash`` of a name."""
+    return hashlib.sha256(developer.encode()).hexdigest()[:12]
+
+
 def erase_from_raw(spark: SparkSession, path: str, developer: str) -> int:
     """Delete every raw partition of one developer, over all dates. Works on
     directory names; returns how many went."""
-    dev = hashlib.sha256(developer.encode()).hexdigest()[:12]
+    dev = _dev(developer)
     jvm = spark.sparkContext._jvm
     pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/year=*/month=*/day=*/agent=*/dev={dev}")
     fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -343,6 +395,86 @@ def erase_developer(spark: SparkSession, out: str, fresh: str, developer: str) -
     return gone | {"findings": before - after}
 
 
+def _of_developer(developer: str, column: str = "developer") -> Column:
+    """The rows of a developer, hashed name included."""
+    return F.coalesce(F.col(column).isin(developer) | (F.col(column) == governance.anonymous(F.lit(developer))), F.lit(False))
+
+
+def take_out(spark: SparkSession, read: Callable[[], DataFrame], path: str, gone: Column, units: list[str]) -> tuple[int, int]:
+    """Rewrite the files of the table at ``path`` that hold rows ``gone``, without these, and
+    no others; how many rows went, and from how many files. ``read`` gives the table, whose
+    partition columns are ``units``.
+
+    What stays of the files is staged beside the table, then a list of the files; with it the
+    new files move in and the old ones go, which a later run finishes if this one cannot.
+    """
+    _finish(spark, path)
+    rows = read()
+    hits = rows.where(gone).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not hits:
+        return 0, 0
+    jvm = spark.sparkContext._jvm
+    files = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r.file)).toString() for r in hits]
+    kept = spark.read.schema(rows.schema).option("basePath", path).parquet(*files).where(~gone)
+    writer = (rebalance(kept, *units) if units else kept).write.mode("overwrite").option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
+    (writer.partitionBy(*units) if units else writer).parquet(f"{path}/_out/rows")
+    spark.createDataFrame([(f,) for f in files], "file string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_out/files")
+    _finish(spark, path)
+    return sum(r.n for r in hits), len(files)
+
+
+def _finish(spark: SparkSession, path: str) -> None:
+    staged = f"{path}/_out/rows"
+    if exists(spark, f"{path}/_out/files/_SUCCESS"):
+        old = [r.file for r in spark.read.parquet(f"{path}/_out/files").collect()]
+        fs, top = _at(spark, staged)
+        found, new = fs.listFiles(top, True), []
+        while found.hasNext():
+            new.append(found.next().getPath())
+        for file in new:
+            inner = file.toString().split("/_out/rows/", 1)[1]
+            if inner.endswith(".parquet"):
+                _, target = _at(spark, f"{path}/{inner}")
+                fs.mkdirs(target.getParent())
+                fs.rename(file, target)
+        for file in old:
+            delete(spark, file)
+    delete(spark, f"{path}/_out")
+
+
+def erase(spark: SparkSession, out: str, developer: str, zone: str | None = None, rejects: str | None = None) -> dict[str, tuple[int, int]]:
+    """Take one developer out of all that a lake keeps, in place: traces and what is derived
+    from them, commits (by developer, author or e-mail), what logs carry from run to run, the
+    landing ``zone`` with its ids, and refused batches. Per table how many rows went and how
+    many files were written again (for the zone: partitions, which go whole). Daily usage has
+    no developer. The partitions to refresh are noted first, so a run that broke off can run
+    again."""
+    from spoor.plans import derived
+
+    name, noted = developer.lower(), f"{out}/_erasing"
+    _finish(spark, f"{out}/traces")
+    touched = read_traces(spark, f"{out}/traces").where(_of_developer(developer)).select(*derived.PART).distinct()
+    if exists(spark, f"{noted}/_SUCCESS"):
+        touched = touched.union(spark.read.schema(touched.schema).parquet(noted)).distinct()
+    parts = derived.touched_by(touched)
+    spark.createDataFrame(parts, touched.schema).coalesce(1).write.mode("overwrite").parquet(noted)
+    gone = {"traces": take_out(spark, lambda: read_traces(spark, f"{out}/traces"), f"{out}/traces", _of_developer(developer), derived.PART)}
+    if exists(spark, f"{out}/git_events"):
+        theirs = _of_developer(developer) | F.coalesce(F.lower("author") == name, F.lit(False)) | F.coalesce(F.lower("author_email") == name, F.lit(False))
+        gone["git_events"] = take_out(spark, lambda: read_git(spark, f"{out}/git_events", linked=True), f"{out}/git_events", theirs, ["event_date", "repo_hash"])
+    if exists(spark, f"{out}/models"):
+        gone["models"] = take_out(spark, lambda: spark.read.parquet(f"{out}/models"), f"{out}/models", _of_developer(developer, "_developer"), [])
+    if rejects and exists(spark, rejects):
+        schema = T.StructType([*S.BATCH.fields, T.StructField("epoch", T.LongType())])
+        gone["rejects"] = take_out(spark, lambda: spark.read.schema(schema).parquet(rejects), rejects, _of_developer(developer), ["epoch"])
+    if zone:
+        gone["raw"] = (erase_from_raw(spark, zone, developer), 0)
+        delete(spark, f"{zone}_ids/{partition_path(dev=_dev(developer))}")
+    derived.refresh(spark, out, parts)
+    delete(spark, noted)
+    return gone
+
+
 # ---- incremental --------------------------------------------------------------
 
 def only_new(rows: DataFrame, shipped: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoor import fixed_values as V
@@ -11,7 +13,7 @@ from spoor import schema as S
 from spoor import session
 from spoor.operators import attribution
 from spoor.plans import derived, jobs, lake, samples, views
-from spoor.sources import raw
+from spoor.sources import codex, raw
 from spoor.streaming import ingest
 
 
@@ -235,5 +237,29 @@ def cut_batches(spark, sf_dir):
                       F.md5(F.array_join("entries", "\n")).alias("digest"), "batchId")
 
 
+def erase_everywhere(spark, sf_dir):
+    """Every zone of a lake after one developer was erased in place; only files that held
+    the developer were written again."""
+    base = session.work_folder(spark, "erase")
+    lake.write_traces(lake.with_event_date(S.conform(views.traces(spark, sf_dir), S.TRACES)), f"{base}/traces")
+    git = S.conform(views.commits(spark, sf_dir), S.GIT_EVENTS)
+    lake.write_git(git.withColumn("developer", F.replace(F.lower("author"), F.lit(" "), F.lit(""))), f"{base}/git_events")
+    derived.build(spark, base)
+    sent = samples.batches(spark, sf_dir)
+    lake.land_batches(S.conform(sent, S.BATCH), f"{base}/raw")
+    S.conform(sent.where("day < 5"), S.BATCH).write.parquet(f"{base}/rejects/epoch=0")
+    user = F.substring("session_key", 2, 20).cast("bigint")
+    codex.model_state(samples.codex_lines(spark, sf_dir).withColumn("developer", F.concat(F.lit("dev"), (user % 7).cast("string")))).write.parquet(f"{base}/models")
+    lake.erase(spark, base, "dev3", f"{base}/raw", f"{base}/rejects")
+
+    def counted(table, name, column):
+        return table.groupBy(F.lit(name).alias("tab"), F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+    return functools.reduce(DataFrame.union, [counted(*x) for x in (
+        (lake.read_traces(spark, f"{base}/traces"), "traces", "developer"), (lake.read_git(spark, f"{base}/git_events"), "git_events", "author"),
+        (lake.read_findings(spark, f"{base}/findings"), "findings", "pattern_type"), (lake.read_batches(spark, f"{base}/raw"), "raw", "developer"),
+        (spark.read.parquet(f"{base}/rejects"), "rejects", "developer"), (spark.read.parquet(f"{base}/models"), "models", "_developer"))])
+
+
 QUERIES = {f.__name__: f for f in (git_scan_twice, git_scan_developers, export_twice, codex_batches, undated_batches, erase_developer,
-                                   refresh_twice, relink_late_traces, cut_batches, codex_stream, codex_projects, undated_twice, git_late_branch, git_gaps)}
+                                   refresh_twice, relink_late_traces, cut_batches, codex_stream, codex_projects, undated_twice, git_late_branch, git_gaps, erase_everywhere)}

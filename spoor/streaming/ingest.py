@@ -92,25 +92,26 @@ def land(batches: DataFrame, credentials: DataFrame | None, path: str, checkpoin
     """Land each batch once. A micro-batch that runs again finds its rows landed
     and adds nothing: a batch is one row, so it is there whole or not at all.
 
-    Ids are looked up among the partitions of the developers in the micro-batch, which are
-    no more than its envelopes. Batches that their credential does not cover go to the
+    Ids are looked up in a table by developer, of which only the folders of the developers
+    in the micro-batch are listed; see ``lake.landed_ids``. Batches that their credential does not cover go to the
     table ``rejects``, if given, under the number of the micro-batch.
     """
     spark = batches.sparkSession
 
     def write(df: DataFrame, epoch: int) -> None:
-        rows = df
+        rows = runs.staged(df, "arrived")
         if credentials is not None:
             bound = governance.bind_tenant(rows, credentials)
             if rejects:
                 refused = bound.where(~F.coalesce(F.col("accepted"), F.lit(False))).drop("accepted", "credential")
                 S.conform(refused, S.BATCH).write.mode("overwrite").parquet(f"{rejects}/epoch={epoch}")
             rows = bound.where("accepted").drop("accepted", "credential")
-        landed = None
-        if lake.exists(spark, path):
-            dev = [r.dev for r in rows.select(governance.partition_hash(F.col("developer")).alias("dev")).distinct().collect()]
-            landed = lake.read_batches(spark, path).where(F.col("dev").isin(dev))
-        lake.land_batches(S.conform(lake.new_batches(rows, landed), S.BATCH), path)
+        sent = lake.with_ship_partition(lake.with_batch_ids(S.conform(rows, S.BATCH)))
+        if lake.exists(spark, path) and not lake.exists(spark, f"{path}_ids"):  # landed before there was an id table
+            lake.note_ids(lake.read_batches(spark, path), path)
+        fresh = runs.staged(S.conform(lake.new_batches(rows, lake.landed_ids(sent, path)), S.BATCH), "landing")
+        lake.land_batches(fresh, path)
+        lake.note_ids(lake.with_ship_partition(fresh), path)
 
     writer = batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _start(writer, available_now, every)
