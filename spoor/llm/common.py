@@ -7,6 +7,7 @@ code point above \\x7F after lower-casing A-Z.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from spoor import session
 
 #: Bytes of text that are worked on at once in a task; a longer single text goes alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,6 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, whole."""
     session.configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")  # long texts come in smaller batches
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,11 +56,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 remembered: dict[str, object] = {}
 
 
-def let_go() -> None:
-    """Give back what earlier stages left in this worker: what it remembers, and memory
-    that Arrow holds without using it."""
-    remembered.clear()
+def let_go(*keep: str) -> None:
+    """Give back what earlier stages left in this worker: what it remembers, but for
+    ``keep``, powers, and memory that Arrow and the allocator hold without using it."""
+    global _powers
+    for name in set(remembered) - set(keep):
+        del remembered[name]
+    _powers = None
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def fold(doc_id: Column) -> Column:

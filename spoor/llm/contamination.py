@@ -154,6 +154,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", block_words:
 
 def _stream(model, text):
     def run(batches):
+        common.let_go()
         for batch in batches:
             for part in common.blocks(batch, text):
                 yield _hits(part, text, model.value)
@@ -220,6 +221,7 @@ def clean(docs: DataFrame, items: DataFrame, span_limit: int = 1, coverage_limit
     schema = docs.schema
 
     def cut(batches):
+        common.let_go()
         for batch in batches:
             for part in common.blocks(batch, text):
                 w = common.words(part.column(text), common.PLAIN, lower=True)

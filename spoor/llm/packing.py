@@ -31,9 +31,10 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     schema = T.StructType([docs.schema[key], *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]])
 
     def run(batches):
+        common.let_go(path)  # what the encoder knows stays
         enc = tokens.encoder(path)
         for batch in batches:
-            for part in common.blocks(batch, text):
+            for part in common.blocks(batch, text, 4 * common.BLOCK_BYTES):
                 ids, at = enc.encode(part.column(text))
                 rows, cols = [], ([], [], [], [])
                 for d in range(part.num_rows):
@@ -105,6 +106,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFr
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches):
+        common.let_go()
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return

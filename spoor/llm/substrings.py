@@ -63,6 +63,7 @@ def profiles(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
         ("seeds", T.ArrayType(T.LongType())))]])
 
     def run(batches):
+        common.let_go()
         for batch in batches:
             for part in common.blocks(batch, text):
                 w = common.words(part.column(text))
@@ -89,6 +90,7 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("ka", T.LongType()), T.StructField("kb", T.LongType())])
 
     def run(batches):
+        common.let_go()
         for batch in batches:
             _, ka, kb = _digests(batch.column(text))
             yield pa.RecordBatch.from_arrays([*batch.columns, ka, kb], names=schema.names)
@@ -125,6 +127,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
         "ord", F.col("_text").alias("text"), "seeds")
 
     def extend(batches):
+        common.let_go()
         for batch in batches:
             for part in common.blocks(batch, "text"):
                 w = common.words(part.column("text"))
@@ -145,6 +148,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     schema = T.StructType([T.StructField("ord", T.LongType()), T.StructField("spans", span), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha", T.StringType())])
 
     def judge(batches):
+        common.let_go()
         for batch in batches:
             for part in common.blocks(batch, "text"):
                 w = common.words(part.column("text"))
@@ -200,6 +204,7 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     rows = rows.where(~copy).select(*docs.columns, F.col("spans").alias("_spans"))
 
     def cut(batches):
+        common.let_go()
         for batch in batches:
             for part in common.blocks(batch, text):
                 w = common.words(part.column(text))

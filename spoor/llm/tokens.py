@@ -17,6 +17,8 @@ from spoor.llm import common
 
 #: Chunks and letter runs a worker remembers; beyond that it starts afresh.
 REMEMBERED = 800_000
+#: Ids a worker remembers: 32 MB.
+REMEMBERED_IDS = 8 << 20
 
 SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 
@@ -83,7 +85,7 @@ class Encoder:
         """Ids of all texts in a row, and where each text's begin (one more at the end)."""
         w = common.words(texts)
         known, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.known) + len(known) > REMEMBERED and len(self.known):
+        if (len(self.known) + len(known) > REMEMBERED or self.used > REMEMBERED_IDS) and len(self.known):
             self._forget()
         spot = np.searchsorted(self.known, known)
         index = np.full(len(known), -1, np.int64)
