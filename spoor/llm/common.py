@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,10 +45,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_noting: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders that ``stage`` makes inside."""
+    made: list[str] = []
+    _noting.append(made)
+    try:
+        yield made
+    finally:
+        _noting.remove(made)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: its lineage ends
     there, and a lost executor costs no recomputation of what came before."""
     path = session.work_folder(df.sparkSession, f"llm/{name}")
+    for made in _noting:
+        made.append(path)
     df.write.parquet(path + "/t")
     return df.sparkSession.read.schema(df.schema).parquet(path + "/t")
 
