@@ -685,6 +685,7 @@ UNION ALL SELECT 'windows', project, agent, CAST(SUM(hi - lo) AS BIGINT) FROM wi
     o["codex_stream"] = o["codex_batches"]
     o["codex_projects"] = f"""SELECT DISTINCT CASE WHEN CAST(substr(session_id, 2) AS BIGINT) % 7 = 0 THEN 'unknown' ELSE 'p' || CAST(substr(session_id, 2) AS BIGINT) % 5 END AS project,
   x.* EXCLUDE (session_id) FROM ({o['codex_parse']}) x"""
+    o["session_estimates"] = f"{K} SELECT project, COUNT(DISTINCT session_id) AS exact, TRUE AS near FROM traces GROUP BY 1"
     o["undated_twice"] = o["undated_batches"]
     o["cut_batches"] = """WITH RECURSIVE l AS (SELECT COALESCE(source, '') AS source, doc_id, line, strlen(line) AS size, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) AS p
   FROM (SELECT *, concat('{"id":', doc_id, ',"t":"', regexp_replace(COALESCE(text, ''), '[^A-Za-z0-9 ]', '', 'g'), '"}') AS line FROM documents)),

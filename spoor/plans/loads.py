@@ -237,6 +237,21 @@ def cut_batches(spark, sf_dir):
                       F.md5(F.array_join("entries", "\n")).alias("digest"), "batchId")
 
 
+def session_estimates(spark, sf_dir):
+    """Sessions of each project, counted and estimated from stored sketches, of which some days
+    were refreshed: whether they agree within four standard errors."""
+    out = session.work_folder(spark, "sketches")
+    first, second, third = _deliveries(spark, sf_dir)
+    lake.write_traces(first.union(second), f"{out}/traces")
+    derived.build(spark, out)
+    lake.write_traces(third, f"{out}/traces")
+    derived.refresh(spark, out, derived.touched_by(third))
+    exact = views.traces(spark, sf_dir).groupBy("project").agg(F.countDistinct("session_id").alias("exact"))
+    about = derived.sessions_estimate(spark, out)
+    near = F.abs(F.col("sessions") - F.col("exact")) <= 4 * 1.04 / 64 * F.col("exact") + 1
+    return exact.join(about.withColumnRenamed("project", "p"), F.col("project").eqNullSafe(F.col("p"))).select("project", "exact", near.alias("near"))
+
+
 def erase_everywhere(spark, sf_dir):
     """Every zone of a lake after one developer was erased in place; only files that held
     the developer were written again."""
@@ -262,4 +277,4 @@ def erase_everywhere(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (git_scan_twice, git_scan_developers, export_twice, codex_batches, undated_batches, erase_developer,
-                                   refresh_twice, relink_late_traces, cut_batches, codex_stream, codex_projects, undated_twice, git_late_branch, git_gaps, erase_everywhere)}
+                                   refresh_twice, relink_late_traces, cut_batches, codex_stream, codex_projects, undated_twice, git_late_branch, git_gaps, erase_everywhere, session_estimates)}

@@ -37,7 +37,8 @@ def built(spark, out, some, commits=COMMITS):
 
 
 def state(spark, out):
-    tables = {n: sorted(map(str, derived.read(spark, out, n).collect())) for n in derived.SCHEMAS}
+    tables = {n: sorted(map(str, derived.read(spark, out, n).collect())) for n in derived.SCHEMAS if n != "session_sketches"}
+    tables["sessions"] = sorted(map(str, derived.sessions_estimate(spark, out).collect()))
     links = lake.read_git(spark, f"{out}/git_events", linked=True)
     return tables | {"totals": sorted(map(str, derived.totals(spark, out).collect())),
                      "git": sorted(map(str, rows(links, "commit_sha", "session_id", "agent_name", "linked_by", "agent_authored")))}
