@@ -1,8 +1,7 @@
 """The operators' results in DuckDB SQL, where SQL can express them.
 
 Grades, toxicity, languages, packing and the pipeline fit models or pack, which SQL does
-not express; tests hold them against brute force, round trips and held-out accuracy. The
-same goes for sharding, for want of a CRC-32; ``shard_sql`` has its other columns.
+not express; tests hold them against brute force, round trips and held-out accuracy.
 """
 
 from __future__ import annotations
@@ -104,16 +103,17 @@ def shard_sql() -> str:
     """The jumps one after the other; after ``shards`` + 1 of them all have ended."""
     n = sharding.SHARDS
     draw = "(CAST('0x' || substr(md5(key || ':' || CAST({b} AS VARCHAR)), 1, 8) AS BIGINT) >> 1)"
-    t = ("t AS (SELECT doc_id, COALESCE(CAST(doc_id AS VARCHAR), '') AS key, octet_length(encode(COALESCE(text, ''))) + 1 AS size FROM documents)")
-    steps, last = [t, "j0 AS (SELECT *, 0::BIGINT AS a, 0::BIGINT AS nx, 0::BIGINT AS g, 0::BIGINT AS gx FROM t)"], "j0"
+    t = (f"t AS (SELECT doc_id, key, size, {crc_sql('x')} AS text_crc32 FROM (SELECT doc_id, COALESCE(CAST(doc_id AS VARCHAR), '') AS key, "
+         "octet_length(encode(COALESCE(text, ''))) + 1 AS size, hex(encode(COALESCE(text, ''))) AS x FROM documents), crc)")
+    steps, last = [f"crc AS (SELECT {crc_table()} AS t)", t, "j0 AS (SELECT *, 0::BIGINT AS a, 0::BIGINT AS nx, 0::BIGINT AS g, 0::BIGINT AS gx FROM t)"], "j0"
     for i in range(1, n + 2):
         to = lambda b: f"CAST(floor(({b} + 1)::DOUBLE * (2147483648.0::DOUBLE / ({draw.format(b=b)} + 1)::DOUBLE)) AS BIGINT)"
         steps.append(
-            f"j{i} AS (SELECT key, doc_id, size, CASE WHEN nx < {n} THEN nx ELSE a END AS a, CASE WHEN nx < {n} THEN {to('nx')} ELSE nx END AS nx, "
+            f"j{i} AS (SELECT key, doc_id, size, text_crc32, CASE WHEN nx < {n} THEN nx ELSE a END AS a, CASE WHEN nx < {n} THEN {to('nx')} ELSE nx END AS nx, "
             f"CASE WHEN gx < {n + 1} THEN gx ELSE g END AS g, CASE WHEN gx < {n + 1} THEN {to('gx')} ELSE gx END AS gx FROM {last})")
         last = f"j{i}"
-    return (f"WITH {', '.join(steps)} SELECT doc_id, CAST(size AS BIGINT) AS size, 'key' AS law, CAST(a AS INT) AS shard, "
-            f"row_number() OVER (PARTITION BY a ORDER BY doc_id, size) - 1 AS slot, CAST(g AS INT) AS grown_shard FROM {last}")
+    return (f"WITH {', '.join(steps)} SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(a AS INT) AS shard, "
+            f"row_number() OVER (PARTITION BY a ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(g AS INT) AS grown_shard FROM {last}")
 
 
 def crc_table() -> str:
@@ -190,7 +190,7 @@ def oracle_sql() -> dict[str, str]:
         "op11_trie": trie_sql(),
         "op12_copies": copies_sql(), "op13_resampling": resampling_sql(),
         "op1_licenses": license_sql(), "op2_quality_rules": quality_sql(), "op3_substrings": substring_sql(),
-        "op5_jaccard": jaccard_sql(), "op10_contamination": contamination_sql(),
+        "op5_jaccard": jaccard_sql(), "op8_sharding": shard_sql(), "op10_contamination": contamination_sql(),
     }
 
 
