@@ -107,13 +107,15 @@ def git_commits(ws: Workspace, f: Filters = NO_FILTER, limit: int = 50) -> DataF
     return ws.git_rows(f).select(*_commit_columns()).orderBy(F.desc("ts"), "repo", "commit_sha").limit(limit)
 
 
-def commit_detail(ws: Workspace, sha: str | None = None) -> DataFrame:
-    """Commits with body and files; one commit when ``sha`` is given."""
+def commit_detail(ws: Workspace, sha: str | None = None, repo: str | None = None) -> DataFrame:
+    """Commits with body and files; those of one ``sha`` or of one repository if given. A sha
+    may be in several repositories: each has its row."""
     rows = ws.git.where(F.col("commit_sha") == sha) if sha else ws.git
-    out = rows.select(
+    if repo is not None:
+        rows = rows.where(F.coalesce("repo", F.lit("")) == repo)
+    return rows.select(
         *_commit_columns(), F.col("message_body"),
         F.coalesce("files", F.array().cast("array<string>")).alias("files"))
-    return out.limit(1) if sha else out
 
 
 def session_commits(ws: Workspace, session_id: str | None = None) -> DataFrame:
