@@ -200,6 +200,13 @@ def test_similar(docs, long, rounds):
     assert got == brute_classes(rows)
 
 
+def test_similar_with_lists_counted_apart_and_split(docs, monkeypatch):
+    for name, value in (("SEEN", 1), ("EACH", 1), ("SPLIT", 2), ("HEAVY", 50)):
+        monkeypatch.setattr(similar, name, value)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert Counter(tuple(r) for r in similar.classes(docs, long=2, rounds=2).collect()) == brute_classes(rows)
+
+
 def test_similar_odd_tables(docs, empty):
     assert similar.classes(empty).count() == 0
     kept = similar.keep_one(docs)
