@@ -21,8 +21,9 @@ from spoor.llm import common
 
 LENGTH = 256  # bytes of a window
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 8, 4
-#: Windows per language that training sees, about; and languages, the most frequent first.
-SAMPLE, LANGUAGES = 1500, 200
+#: Windows per language that training sees, about; and of all languages together, about:
+#: with very many languages each has fewer, but all have some.
+SAMPLE, TOTAL = 1500, 300_000
 EPOCHS, RATE, BATCH = 12, 0.02, 128
 HELD_OUT = 2
 WIDEST = max(WIDTHS)
@@ -104,27 +105,29 @@ def cut(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw.ljust(n * LENGTH), np.uint8).reshape(n, LENGTH)
 
 
-def sample(docs: DataFrame, lang: str, text: str, per_language: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows, labels and names: two windows a text at places given by its hash, of
-    texts chosen by hash so that about ``per_language`` windows come from each language."""
-    seen = docs.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES)
-    counts = {r[0]: r["n"] for r in seen.collect()}
-    names = sorted(counts)
+def sample(docs: DataFrame, key: str, lang: str, text: str, per_language: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Windows, labels and names: two windows a text, anywhere in it, of texts chosen by a hash
+    of key and text so that about ``per_language`` windows come from each language."""
+    seen = docs.groupBy(lang).agg(F.count(F.lit(1)).alias("_n"))
+    names = sorted(r[0] for r in seen.select(lang).collect())
     if not names:
         return np.zeros((0, LENGTH), np.uint8), np.zeros(0, np.int64), ["und"]
-    share = F.create_map(*[F.lit(v) for k in names for v in (k, min(1.0, per_language / 2 / counts[k]))])
-    h = F.xxhash64(text, F.lit(5))
-    chosen = docs.where(F.pmod(h, F.lit(1_000_000)) < F.try_element_at(share, F.col(lang)) * 1_000_000)
+    texts = max(1.0, min(per_language, TOTAL / len(names)) / 2)
+    chance, place = (F.xxhash64(F.lit(k), F.col(key).cast("string"), F.col(text)) for k in (5, 6))
+    chosen = docs.join(seen, lang).where((F.pmod(chance, F.lit(1 << 30)) + 0.5) * F.col("_n") < F.lit(texts * (1 << 30)))
 
     def run(batches):
         for batch in batches:
+            raws, of = [], []
             for t, name, x in zip(*(batch.column(c).to_pylist() for c in (text, lang, "h"))):
                 raw = t.encode()
-                for k in (x & 0xFFFF, x >> 16 & 0xFFFF):
+                for k in (x & 0xFFFFFFFF, x >> 32 & 0xFFFFFFFF):
                     at = k % max(1, len(raw) - LENGTH + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([raw[at:at + LENGTH]], pa.binary()), pa.array([name])], names=["raw", "name"])
+                    raws.append(raw[at:at + LENGTH])
+                    of.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(raws, pa.binary()), pa.array(of, pa.string())], names=["raw", "name"])
 
-    rows = chosen.select(text, lang, h.alias("h")).mapInArrow(run, "raw binary, name string").toPandas().sort_values(["name", "raw"])
+    rows = chosen.select(text, lang, place.alias("h")).mapInArrow(run, "raw binary, name string").toPandas().sort_values(["name", "raw"])
     number = {x: i for i, x in enumerate(names)}
     windows = np.concatenate([cut(bytes(r)) for r in rows["raw"]]) if len(rows) else np.zeros((0, LENGTH), np.uint8)
     return windows, np.array([number[x] for x in rows["name"]], np.int64), names
@@ -160,7 +163,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     Without any such row everything with a letter is ``und``. Repeated rows each count.
     """
     known = docs.where((common.fold(F.col(key)) != HELD_OUT) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    windows, labels, names = sample(known.select(text, F.col(lang).cast("string").alias(lang)), lang, text, per_language)
+    windows, labels, names = sample(known.select(key, text, F.col(lang).cast("string").alias(lang)), key, lang, text, per_language)
     out = predict(docs, train(windows, labels, names), key, text)
     return out.withColumn("held_out", common.fold(F.col(key)) == HELD_OUT)
 

@@ -294,6 +294,19 @@ def test_languages(spark, labelled, empty):
 
 # ---- 7 packing ------------------------------------------------------------------
 
+def test_every_language_and_every_place_is_learned_from(spark):
+    rows = [(i, "common words of everyday ", "aa") for i in range(400)] + [(1000 + k, f"rare text number {k}", f"l{k:03d}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    windows, labels, names = languages.sample(df, "doc_id", "lang", "text", 100)
+    assert names == sorted({r[2] for r in rows}) and len(windows) == len(labels)
+    assert set(labels) == set(range(301))  # each of the 300 rare ones, too
+    assert 40 <= (labels == 0).sum() <= 200
+    text = "a" * 70_000 + "b" * 200_000
+    df = spark.createDataFrame([(i, text, "aa") for i in range(40)], "doc_id long, text string, lang string")
+    windows, _, _ = languages.sample(df, "doc_id", "lang", "text", 1000)
+    assert (windows == ord("b")).all(axis=1).sum() > (windows == ord("a")).all(axis=1).sum() > 0
+
+
 def test_fill_and_sequences():
     rng = np.random.default_rng(2)
     for _ in range(40):
