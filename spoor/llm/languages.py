@@ -108,7 +108,8 @@ def cut(raw: bytes) -> np.ndarray:
 def sample(docs: DataFrame, key: str, lang: str, text: str, per_language: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, labels and names: two windows a text, anywhere in it, of texts chosen by a hash
     of key and text so that about ``per_language`` windows come from each language."""
-    seen = docs.groupBy(lang).agg(F.count(F.lit(1)).alias("_n"))
+    # Written, so that its size is known and the texts need not move to meet it.
+    seen = common.stage(docs.groupBy(lang).agg(F.count(F.lit(1)).alias("_n")), "languages")
     names = sorted(r[0] for r in seen.select(lang).collect())
     if not names:
         return np.zeros((0, LENGTH), np.uint8), np.zeros(0, np.int64), ["und"]
