@@ -116,3 +116,15 @@ def test_rare_toxic_pairs_count(spark, monkeypatch):
     again = {r.doc_id: r.score for r in toxicity.score(docs, marks).collect()}
     assert again == pytest.approx({i: r.score for i, r in got.items()}, abs=1e-9)
     assert sorted(r.doc_id for r in toxicity.clean(docs, marks).collect()) == kept
+
+
+def test_similar_lowers_ascii_letters(spark, tmp_path):
+    """The query's sets are of lower-cased words, A-Z only; the operator's are as they stand."""
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1, " ".join(words)), (2, " ".join(words).upper()), (3, "One two ONE two one two one TWO"), (4, "É a b c d"), (5, "é A B C D"), (6, "Hi"), (7, "hI"), (8, None), (9, " \t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar.query(spark, str(tmp_path)).collect()}
+    assert got == {1: (26, 1), 2: (26, 1), 3: (2, 3), 4: (1, 4), 5: (1, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8), 9: (0, 9)}
+    assert {r.doc_id: r.component_id for r in similar.classes(docs).collect()} == {i: i for i in range(1, 10)}
+    assert {r.doc_id for r in similar.keep_one(docs, lower=True).collect()} == {1, 3, 4, 5, 6, 8, 9}
