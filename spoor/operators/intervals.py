@@ -32,9 +32,8 @@ def _cells(lo: Column, hi: Column) -> Column:
             F.transform(F.sequence(a, b - 1), lambda c: F.struct(level.cast("int").alias("level"), c.alias("cell"))),
         ).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>"))
 
-    def at(level: Column) -> Column:
-        size = F.pow(F.lit(RADIX), level).cast("bigint")
-        up = size * RADIX
+    def at(step: Column) -> Column:
+        level, size, up = step["level"], step["size"], step["up"]
         a, b = F.ceil(lo / size).cast("bigint"), F.floor((hi + 1) / size).cast("bigint")
         pa, pb = F.ceil(lo / up).cast("bigint"), F.floor((hi + 1) / up).cast("bigint")
         split = (pa < pb) & (level < LEVELS - 1)
@@ -43,7 +42,11 @@ def _cells(lo: Column, hi: Column) -> Column:
         right = span(F.when(split, pb * RADIX).otherwise(b), b, level)
         return F.concat(left, right)
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), at))
+    # Sizes are constants; a lambda would raise them to the level again wherever it reads them.
+    steps = F.array(*[
+        F.struct(F.lit(k).alias("level"), F.lit(RADIX ** k).cast("bigint").alias("size"), F.lit(RADIX ** (k + 1)).cast("bigint").alias("up"))
+        for k in range(LEVELS)])
+    return F.flatten(F.transform(steps, at))
 
 
 def first_covering(points: DataFrame, intervals: DataFrame, key: str, at: str,
@@ -55,8 +58,11 @@ def first_covering(points: DataFrame, intervals: DataFrame, key: str, at: str,
     returns: key, at, best
     """
     coarse = F.col("level") >= COARSE_LEVEL
+    # Intervals are few bytes and much work: by size alone they would meet in one task.
+    tasks = int(intervals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cover = (
-        intervals.select(key, best, F.explode(_cells(F.col(lo), F.col(hi))).alias("c"))
+        intervals.select(key, lo, hi, best).repartition(tasks, key, lo, hi)
+        .select(key, best, F.explode(_cells(F.col(lo), F.col(hi))).alias("c"))
         .groupBy(key, F.col("c.level").alias("level"), F.col("c.cell").alias("cell"))
         .agg(F.min(best).alias(best))
         .withColumn("salt", F.explode(

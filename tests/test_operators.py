@@ -404,3 +404,13 @@ def test_empty_tables(spark):
                C.commit_density, U.heatmap_matrix, U.validation_summary):
         fn(ws).collect()
     assert O.stats(ws).first()["total_entries"] == 0
+
+
+def test_cells_of_few_intervals_are_cut_in_many_tasks(spark):
+    """Intervals are small and their cells are not: adaptive execution must not put them together."""
+    points = spark.createDataFrame([("p", 5), ("p", 90_000_000_000), ("q", 5)], "k string, at long")
+    ranges = spark.createDataFrame([("p", 0, 80_000_000_000, "b"), ("p", 5, 5, "a"), ("q", 6, 9, "a"), (None, 0, 9, "a")], "k string, lo long, hi long, best string")
+    found = I.first_covering(points, ranges, "k", "at", "lo", "hi", "best")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert [tuple(r) for r in found.collect()] == [("p", 5, "a")]
