@@ -125,8 +125,7 @@ def stream_logs(spark: SparkSession, zone: str, out: str, checkpoint: str, discl
     stream = spark.readStream.schema(lake.batch_schema()).parquet(zone)
 
     def write(rows: DataFrame, epoch: int) -> None:
-        batches = runs.staged(S.conform(rows, S.BATCH), "batches")
-        lake.repartition_by_event(batches, f"{out}/traces", disclosure, redact, models=f"{out}/models", zone=zone)
+        lake.repartition_by_event(S.conform(rows, S.BATCH), f"{out}/traces", disclosure, redact, models=f"{out}/models", zone=zone)
 
     return _start(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now, every)
 
