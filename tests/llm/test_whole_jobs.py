@@ -128,3 +128,19 @@ def test_similar_lowers_ascii_letters(spark, tmp_path):
     assert got == {1: (26, 1), 2: (26, 1), 3: (2, 3), 4: (1, 4), 5: (1, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8), 9: (0, 9)}
     assert {r.doc_id: r.component_id for r in similar.classes(docs).collect()} == {i: i for i in range(1, 10)}
     assert {r.doc_id for r in similar.keep_one(docs, lower=True).collect()} == {1, 3, 4, 5, 6, 8, 9}
+
+
+def test_the_pipeline_joins_what_the_operator_links(spark, tmp_path):
+    """The stage keeps one document of each component of the query, case aside."""
+    import corpus_pipeline
+
+    words = [f"Word{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words).lower()), (3, " ".join(words[:58]).upper() + " more"), (4, "Hi"), (5, "hI"), (6, "É a b c d"), (7, "é A B C D"),
+            (8, " ".join(words[::-1])), (None, " ".join(words).swapcase()), (9, None), (10, " \t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    linked = similar.query(spark, str(tmp_path)).collect()
+    want = {r.component_id for r in linked}
+    assert want == {1, 4, 6, 7, 8, 9, 10}
+    kept = dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(want) and {(r.doc_id, r.text) for r in kept} <= set(rows)
