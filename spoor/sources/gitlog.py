@@ -34,7 +34,8 @@ def parse(chunks: DataFrame) -> DataFrame:
     first_stat = F.coalesce(
         F.array_min(F.transform("lines", lambda s, i: F.when(s.rlike(is_stat), i))), F.size("lines"))
     rows = (
-        chunks.withColumn("parts", parts).where(F.size("parts") >= 6)
+        # Exploded, so that conditions on the parts do not each cut the chunk again.
+        chunks.withColumn("parts", F.explode(F.array(parts))).where(F.size("parts") >= 6)
         .withColumn("lines", lines).withColumn("cut", first_stat)
         .withColumn("body", X.trim_all(F.array_join(F.slice("lines", F.lit(1), F.col("cut")), "\n")))
         .withColumn("stats", F.filter(
@@ -60,7 +61,7 @@ def parse(chunks: DataFrame) -> DataFrame:
 
     sha = part(0)
     rows = rows.withColumn("co", trailers).withColumn(
-        "who", attribution.detect_agent(F.col("co"), part(3)))
+        "who", attribution.detect_agent(F.col("co"), part(3))).withColumn("paths", files)
     return S.conform(rows.select(
         governance.git_event_id(F.col("repo"), F.lit("commit"), sha).alias("id"),
         part(4).alias("timestamp_text"), clock.parse_ts(part(4)).alias("ts"),
@@ -69,6 +70,6 @@ def parse(chunks: DataFrame) -> DataFrame:
         F.size("stats").cast("bigint").alias("files_changed"), total(0).alias("insertions"), total(1).alias("deletions"),
         F.col("who.agent_authored").alias("agent_authored"), F.col("who.agent_name").alias("agent_name"),
         X.nonempty(part(2)).alias("author"), X.nonempty(part(3)).alias("author_email"),
-        some(F.col("co")).alias("co_authors"), X.nonempty(part(5)).alias("message"), some(files).alias("files"),
+        some(F.col("co")).alias("co_authors"), X.nonempty(part(5)).alias("message"), some(F.col("paths")).alias("files"),
         X.nonempty(F.col("body")).alias("message_body"), F.col("repo_path").alias("repo_local"),
     ), S.GIT_EVENTS)

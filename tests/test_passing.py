@@ -10,6 +10,7 @@ from test_jobs import chunks
 from spoor import session
 from spoor.operators import attribution, runs
 from spoor.plans import jobs, lake, loads
+from spoor.sources import gitlog
 
 
 @pytest.fixture
@@ -60,3 +61,11 @@ def test_history_is_made_once_for_all_captures(spark, name, monkeypatch):
     rows = getattr(loads, name)(spark, "/root/testdata/sf0.001")
     assert rows.groupBy("commit_sha").count().where(F.col("count") > 1).count() == 0 and rows.count() > 0
     assert read and not any(f.endswith(("/orders.parquet", "/lineitem.parquet")) or "/orders.parquet/" in f for f in read)
+
+
+def test_an_author_is_told_without_cutting_the_chunk_again(spark):
+    rows = attribution.filter_author(gitlog.parse(chunks(spark, [("a1", "ann", "2026-01-05"), ("b1", "bob", "2026-01-05")]).repartition(2)), "ann")
+    assert [(r.commit_sha, r.files, r.insertions) for r in rows.collect()] == [("a1", ["a.py"], 1)]
+    steps = rows._jdf.queryExecution().optimizedPlan().toString().split("+- ")
+    told = [x for x in steps if x.startswith("Filter") and "Contains(lower" in x]
+    assert told and not any("GIT_EVENT_FIELD" in x for x in told)
