@@ -10,7 +10,7 @@ from test_jobs import chunks
 from spoor import session
 from spoor.operators import attribution, runs
 from spoor.plans import jobs, lake, loads
-from spoor.sources import gitlog
+from spoor.sources import gitlog, raw
 
 
 @pytest.fixture
@@ -69,3 +69,24 @@ def test_an_author_is_told_without_cutting_the_chunk_again(spark):
     steps = rows._jdf.queryExecution().optimizedPlan().toString().split("+- ")
     told = [x for x in steps if x.startswith("Filter") and "Contains(lower" in x]
     assert told and not any("GIT_EVENT_FIELD" in x for x in told)
+
+
+def test_logs_are_opened_once_a_load(spark, tmp_path, folder, monkeypatch):
+    seen, read = spark.sparkContext.accumulator(0), raw.read_lines
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    monkeypatch.setattr(raw, "read_lines", lambda *a, **kw: read(*a, **kw).withColumn("line", counted("line")))
+    said = '{"type":"response_item","timestamp":"2024-01-01T00:00:00.000Z","payload":{"type":"message","role":"user","content":[{"type":"input_text","text":"do %d"}]}}'
+    for i in range(3):
+        os.makedirs(f"{tmp_path}/logs/session_key={i}")
+        with open(f"{tmp_path}/logs/session_key={i}/l{i}.txt", "w") as f:
+            f.write('{"type":"session_meta","payload":{"cwd":"/dev/p%d"}}\n' % i * (i > 0) + said % i + "\n")
+    for times in (1, 2):
+        jobs.load_logs(spark, f"{tmp_path}/logs", "codex", f"{tmp_path}/traces", "full")
+        assert seen.value == 5 * times and left(folder) == []
+        got = lake.read_traces(spark, f"{tmp_path}/traces").collect()
+        assert sorted((r.session_id, r.project, r.user_prompt) for r in got) == [("l0", "unknown", "do 0"), ("l1", "p1", "do 1"), ("l2", "p2", "do 2")]
